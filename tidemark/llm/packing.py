@@ -18,6 +18,9 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,53 +34,98 @@ from tidemark.llm.common import materialise, partitions
 CAPACITY = 2048
 END = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
-MAX_WORDS = 300_000
+MAX_WORDS = 800_000  # words a Python worker keeps; then it starts anew
 
 
 class WordIds(dict):
-    """Ids of white-space delimited words as little-endian bytes.
+    """Ids of white-space delimited words (ASCII lower-cased) as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn. Texts with a special token's marker take the
-    tokenizer's own path.
+    The tokenizer lower-cases, drops white space and never joins across it, so a
+    text's ids are those of its words in turn. Words of letters only are encoded
+    many at a time: each ends in exactly one token that carries the word-end mark.
+    Texts with a special token's marker take the tokenizer's own path.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        """``words`` hold letters only."""
+        out: list[bytes] = []
+        parts = [words[at : at + 500] for at in range(0, len(words), 500)]
+        found = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, found, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                out += map(self._one, part)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > MAX_WORDS:
+    def learn(self, needed: set[bytes]) -> None:
+        new = needed.difference(self)
+        if len(self) + 2 * len(new) > MAX_WORDS:
             self.clear()
-        words = list(words)
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+            new = needed
+        tailed = [(w, w.rstrip(b".,")) for w in new if w[-1:] in b".,"]
+        # Points and commas after a letter are a token group of their own.
+        tailed = [(w, b) for w, b in tailed if b and (b[-1:].isalpha() or b.decode("utf-8", "replace")[-1].isalpha())]
+        bodies = list(new.difference(w for w, _ in tailed).union(b for _, b in tailed).difference(self))
+        texts = b"\n".join(bodies).decode("utf-8", "replace").split("\n") if bodies else []
+        forms = unicodedata.normalize("NFC", "\n".join(texts)).lower().split("\n")
+        letters = [f.isalpha() for f in forms] if len(texts) == len(forms) == len(bodies) else [False] * len(bodies)
+        pick = itertools.compress
+        self.update(zip(pick(bodies, letters), self._many(list(pick(texts, letters))), strict=True))
+        odd = [w for w, plain in zip(bodies, letters, strict=True) if not plain]
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
+        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, found, strict=True))
+        for tail in {w[len(b) :] for w, b in tailed}.difference(self):
+            self[tail] = self._one(tail.decode())
+        self.update([(w, self[b] + self[w[len(b) :]]) for w, b in tailed])
 
     def ids(self, text: bytes, words: list[bytes]) -> bytes:
-        if any(m in text for m in self.marks):
-            got = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.array(got, "<u4").tobytes()
+        lower = text.lower()
+        if any(m in lower for m in self.marks):
+            return self._one(text.decode("utf-8", "replace"))
         return b"".join(map(self.__getitem__, words))
 
 
+_WORDS: dict[str, WordIds] = {}
+
+
+def _words(path: str) -> WordIds:
+    """One table for each Python worker, kept from task to task."""
+    if path not in _WORDS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
 def _tokenise(path: str, capacity: int, with_ids: bool):
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordIds(path)
+        words = _words(path)
         seen = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 256):
                 part = [t or b"" for t in texts.slice(at, 256).to_pylist()]
-                split = [t.split() for t in part]
-                words.learn({w for s in split for w in s}.difference(words))
+                split = [t.lower().split() for t in part]
+                words.learn(set().union(*split))
                 out = [[] for _ in range(7)]
                 for doc, text, own in zip(ids.slice(at, 256).to_pylist(), part, split, strict=True):
                     data = words.ids(text, own) + END
