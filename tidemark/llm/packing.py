@@ -18,14 +18,13 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,71 +33,95 @@ from tidemark.llm.common import materialise, partitions
 CAPACITY = 2048
 END = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+SLICE = 6 << 20
 MAX_WORDS = 800_000  # words a Python worker keeps; then it starts anew
 
 
 class WordIds(dict):
-    """Ids of white-space delimited words (ASCII lower-cased) as little-endian bytes.
+    """Ids of words (ASCII lower-cased) as little-endian bytes.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a
-    text's ids are those of its words in turn. Words of letters only are encoded
-    many at a time: each ends in exactly one token that carries the word-end mark.
-    Texts with a special token's marker take the tokenizer's own path.
+    text's ids are those of its white-space delimited words in turn. Points and
+    commas behind a letter are a token group of their own and are taken off.
+    Words of letters only are encoded many at a time: each ends in exactly one
+    token that carries the word-end mark. Texts with a special token's marker
+    take the tokenizer's own path.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _many(self, words: list[str]) -> list[bytes]:
-        """``words`` hold letters only."""
+    def _letters(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         parts = [words[at : at + 500] for at in range(0, len(words), 500)]
         found = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
         for part, e in zip(parts, found, strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                out += map(self._one, part)
-                continue
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                out += [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._each(part)
         return out
 
-    def learn(self, needed: set[bytes]) -> None:
-        new = needed.difference(self)
-        if len(self) + 2 * len(new) > MAX_WORDS:
+    def _of(self, words: pa.Array, letters: pa.Array) -> list[bytes]:
+        """Ids of distinct words, learning those that are new."""
+        names = words.to_pylist()
+        if len(self) + len(names) > MAX_WORDS:
             self.clear()
-            new = needed
-        tailed = [(w, w.rstrip(b".,")) for w in new if w[-1:] in b".,"]
-        # Points and commas after a letter are a token group of their own.
-        tailed = [(w, b) for w, b in tailed if b and (b[-1:].isalpha() or b.decode("utf-8", "replace")[-1].isalpha())]
-        bodies = list(new.difference(w for w, _ in tailed).union(b for _, b in tailed).difference(self))
-        texts = b"\n".join(bodies).decode("utf-8", "replace").split("\n") if bodies else []
-        forms = unicodedata.normalize("NFC", "\n".join(texts)).lower().split("\n")
-        letters = [f.isalpha() for f in forms] if len(texts) == len(forms) == len(bodies) else [False] * len(bodies)
-        pick = itertools.compress
-        self.update(zip(pick(bodies, letters), self._many(list(pick(texts, letters))), strict=True))
-        odd = [w for w, plain in zip(bodies, letters, strict=True) if not plain]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, found, strict=True))
-        for tail in {w[len(b) :] for w, b in tailed}.difference(self):
-            self[tail] = self._one(tail.decode())
-        self.update([(w, self[b] + self[w[len(b) :]]) for w, b in tailed])
-
-    def ids(self, text: bytes, words: list[bytes]) -> bytes:
-        lower = text.lower()
-        if any(m in lower for m in self.marks):
-            return self._one(text.decode("utf-8", "replace"))
-        return b"".join(map(self.__getitem__, words))
+        found = list(map(self.get, names))
+        known = np.array([f is not None for f in found], bool)
+        alone = pc.fill_null(letters, False).to_numpy(zero_copy_only=False)
+        for own, learn in ((~known & alone, self._letters), (~known & ~alone, self._each)):
+            at = np.flatnonzero(own).tolist()
+            part = [names[i] for i in at]
+            for i, word, ids in zip(at, part, learn(part), strict=True):
+                found[i] = self[word] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; ``texts`` holds strings without nulls."""
+        lower = pc.ascii_lower(texts)
+        special = [i for m in self.marks for i in np.flatnonzero(pc.match_substring(lower, m).to_numpy(zero_copy_only=False))]
+        split = pc.ascii_split_whitespace(lower)
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy()
+        body = pc.ascii_rtrim(words, characters=".,")
+        plain = pc.utf8_lower(pc.utf8_normalize(body, form="NFC"))
+        # This capital's lower case is two characters, the second no letter.
+        simple = pc.invert(pc.match_substring(words, "\u0130"))
+        tailed = pc.and_(pc.not_equal(words, body), pc.and_(simple, pc.match_substring_regex(plain, r"\pL$")))
+        heads = pc.if_else(tailed, body, words).dictionary_encode()
+        tails = pc.if_else(tailed, pc.replace_substring_regex(words, r"^.*?([.,]*)$", r"\1"), "").dictionary_encode()
+        names = heads.dictionary
+        letters = pc.and_(pc.invert(pc.match_substring(names, "\u0130")), pc.utf8_is_alpha(pc.utf8_lower(pc.utf8_normalize(names, form="NFC"))))
+        parts = self._of(names, letters) + self._each(tails.dictionary.to_pylist())
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(length) - length
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        word = np.empty((len(index), 2), np.int64)
+        word[:, 0] = heads.indices.to_numpy()[index]
+        word[:, 1] = tails.indices.to_numpy()[index] + len(names)
+        many = length[word.ravel()]
+        ends = np.cumsum(many)
+        data = ids[np.repeat(start[word.ravel()] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[2 * (bounds - bounds[0])] * 4
+        out = [data[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i in special:
+            out[i] = self._each([texts[i].as_py()])[0]
+        return out
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -112,6 +135,18 @@ def _words(path: str) -> WordIds:
     return _WORDS[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of about SLICE bytes of text, nulls as empty texts."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+            yield batch.column(0).slice(at, to - at), pa.concat_arrays([texts.slice(at, to - at)])
+            at = to
+
+
 def _tokenise(path: str, capacity: int, with_ids: bool):
     step = 4 * capacity
 
@@ -120,25 +155,20 @@ def _tokenise(path: str, capacity: int, with_ids: bool):
 
         words = _words(path)
         seen = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for at in range(0, batch.num_rows, 256):
-                part = [t or b"" for t in texts.slice(at, 256).to_pylist()]
-                split = [t.lower().split() for t in part]
-                words.learn(set().union(*split))
-                out = [[] for _ in range(7)]
-                for doc, text, own in zip(ids.slice(at, 256).to_pylist(), part, split, strict=True):
-                    data = words.ids(text, own) + END
-                    for k, b in enumerate(range(0, len(data), step)):
-                        piece = data[b : b + step]
-                        seen += 1
-                        row = (doc, k, b // 4, len(piece) // 4, zlib.crc32(piece), seen, piece)
-                        for col, v in zip(out, row, strict=True):
-                            col.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
-                n = 7 if with_ids else 6
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names[:n])
+        for ids, texts in _slices(batches):
+            out = [[] for _ in range(7)]
+            for doc, data in zip(ids.to_pylist(), words.encode(texts), strict=True):
+                data += END
+                for k, b in enumerate(range(0, len(data), step)):
+                    piece = data[b : b + step]
+                    seen += 1
+                    row = (doc, k, b // 4, len(piece) // 4, zlib.crc32(piece), seen, piece)
+                    for col, v in zip(out, row, strict=True):
+                        col.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
+            n = 7 if with_ids else 6
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names[:n])
 
     return run
 
