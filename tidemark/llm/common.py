@@ -50,3 +50,26 @@ def fold(id_col: Column | str, modulus: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """Connected components of undirected ``edges`` (a, b longs): (node, component), the component its least node.
+
+    Labels spread to neighbours and then jump to the label of their label, so the
+    number of rounds grows with the logarithm of a component's diameter. Every
+    round is written to the shared folder; only a count reaches the driver.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    both = materialise(both.distinct(), f"{label}-edges")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), label)
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
+        spread = labels.join(near, labels["node"] == near["a"])
+        spread = spread.select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        spread = materialise(spread, label)
+        jump = spread.select(F.col("node").alias("at"), F.col("component").alias("root"))
+        moved = spread.join(jump, spread["component"] == jump["at"])
+        moved = materialise(moved.select("node", "old", F.col("root").alias("component")), label)
+        labels = moved.select("node", "component")
+        if not moved.filter("old <> component").limit(1).count():
+            return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, exact_dedup, packing, pii, sharding, toxicity
+from tidemark.llm import chat_format, decontaminate, exact_dedup, jaccard_join, packing, pii, sharding, toxicity
 from tidemark.llm.common import new_path, table
 
 
@@ -25,6 +25,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat_format.neighbouring_pairs(table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(
