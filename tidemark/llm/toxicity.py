@@ -2,12 +2,12 @@
 
 A bounded, documented sample of labelled rows (``max_examples``) gives the
 examples. Features are whole words and character 5-grams of words; those that a
-chi-square test on the examples ties to the label are kept (``max_features``).
+chi-square test on the examples ties to the toxic label are kept (``max_features``).
 Weights are (1 + ln tf) idf with document frequencies counted over the whole
 corpus. The examples form a block-max inverted index: postings in blocks of
 examples, each with its largest weight per feature, so that blocks whose bound
 cannot reach the k-th best cosine are skipped and the answer stays exact. The
-neighbours vote with weight 1 / (distance + eps); a monotone map fitted on the
+k nearest examples vote with weight 1 - distance; a monotone map fitted on the
 examples themselves (each judged without itself) turns votes into probabilities.
 Index, features and map have fixed bounds, so only bounded objects are broadcast.
 
@@ -20,26 +20,25 @@ no labelled rows every score is 0; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, materialise
 
-WORD = re.compile(r"[^\W\d_]+")
 GRAM = 5
 MAX_EXAMPLES = 20_000
 MAX_FEATURES = 2_048
 MIN_DOCS = 4
 CHI2 = 30.0
+LIFT = 2.0  # a kept feature is toxic at least this many times as often as the examples
 K = 15
 BLOCK = 64
-EPS = 0.05
 
 
 def grams(word: str) -> set[str]:
@@ -48,66 +47,94 @@ def grams(word: str) -> set[str]:
     return {padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))} | {padded}
 
 
-class Features(dict):
-    """word -> ids of its kept features."""
+def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct lower-cased words (runs of letters), each token's word and its row."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+", " ")
+    split = pc.ascii_split_whitespace(letters)
+    bounds = split.offsets.to_numpy()
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(bounds))
 
-    def __init__(self, names: list[str]):
-        self.names = {n: i for i, n in enumerate(names)}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(i for i in map(self.names.get, grams(word)) if i is not None)
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = got
-        return got
+def feature_counts(names: list[str]):
+    """Rows to rows with their kept features: ids and counts."""
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if text:
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                for f in self[word]:
-                    out[f] = out.get(f, 0) + n
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = {n: i for i, n in enumerate(names)}
+        get, known = ids.get, {}
+
+        def of(word: str) -> tuple[int, ...]:
+            if word not in known:
+                if len(known) > 400_000:
+                    known.clear()
+                padded = f"^{word}$"
+                found = {get(padded), *[get(padded[i : i + GRAM]) for i in range(len(padded) - GRAM + 1)]} - {None}
+                known[word] = tuple(found)
+            return known[word]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                words, index, row = tokens(part.column(part.num_columns - 1))
+                kept = [of(w) if w else () for w in words]
+                many = np.fromiter(map(len, kept), np.int64, len(kept))
+                flat = np.array([f for k in kept for f in k], np.int64)
+                start = np.cumsum(many) - many
+                own = many[index] > 0
+                index, row = index[own], row[own]
+                n = many[index]
+                at_flat = np.repeat(start[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                key, count = np.unique(np.repeat(row, n) * len(names) + flat[at_flat], return_counts=True)
+                bounds = np.searchsorted(key, np.arange(part.num_rows + 1) * len(names)).astype(np.int32)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (key % max(1, len(names)), count)
+                ]
+                yield pa.record_batch([*part.columns[:-1], *lists], [*part.schema.names[:-1], "f", "n"])
+
+    return run
 
 
 class BlockMaxIndex:
+    """Postings of the examples' distinct vectors in blocks, with the largest weight of each feature and block."""
+
     def __init__(self, vectors: list[dict[int, float]], tags: list[int], labels: list[int], n_features: int):
         """``vectors`` have unit length; empty ones are never neighbours."""
-        self.row = [i for i, v in enumerate(vectors) if v]
-        # Examples with the same leading feature share blocks, which keeps the bounds tight.
-        self.row.sort(key=lambda i: (max(vectors[i], key=lambda f: (vectors[i][f], f)), i))
-        self.tags = np.array([tags[i] for i in self.row], np.int64)
-        self.labels = np.array([labels[i] for i in self.row], np.int8)
-        self.place = {i: p for p, i in enumerate(self.row)}
-        self.blocks = max(1, -(-len(self.row) // BLOCK))
-        flat = [(f, p, w) for p, i in enumerate(self.row) for f, w in vectors[i].items()]
+        groups: dict[tuple, list[int]] = {}
+        for i, v in enumerate(vectors):
+            if v:
+                groups.setdefault(tuple(sorted(v.items())), []).append(i)
+        # Vectors with the same leading feature share blocks, which keeps the bounds tight.
+        order = sorted(groups, key=lambda g: (max(g, key=lambda x: (x[1], x[0]))[0], g))
+        self.tags = [min(tags[i] for i in groups[g]) for g in order]
+        self.size = np.array([len(groups[g]) for g in order], float)
+        self.toxic = np.array([sum(labels[i] for i in groups[g]) for g in order], float)
+        self.place = {i: p for p, g in enumerate(order) for i in groups[g]}
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        flat = [(f, p, w) for p, g in enumerate(order) for f, w in g]
         flat.sort(key=lambda x: x[:2])
         feature = np.array([x[0] for x in flat], np.int64)
-        self.where = np.array([x[1] for x in flat], np.int32)
-        self.weight = np.array([x[2] for x in flat])
+        self.where = np.array([x[1] for x in flat], np.int64)
+        self.weight = np.array([x[2] for x in flat], float)
         block = self.where // BLOCK
         self.heads = np.searchsorted(feature * self.blocks + block, np.arange(n_features * self.blocks + 1))
         self.bound = np.zeros((n_features, self.blocks))
         np.maximum.at(self.bound, (feature, block), self.weight)
 
-    def search(self, query: dict[int, float], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: dict[int, float], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """The k best (position, cosine) with a cosine over 0; ties by position."""
-        if not query or not len(self.row):
+        if not query or not len(self.size):
             return np.zeros(0, np.int64), np.zeros(0)
         own, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
         bounds = weights @ self.bound[own]
-        order = np.argsort(-bounds, kind="stable")
+        order = np.lexsort((np.arange(self.blocks), -bounds))
         found_at, found, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in order.tolist():
             if bounds[b] <= 0 or len(found) == k and bounds[b] < least - 1e-12:
                 break
-            sums = np.zeros(BLOCK)
-            for f, w in zip(own.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.heads[f * self.blocks + b], self.heads[f * self.blocks + b + 1]
-                if hi > lo:
-                    sums[self.where[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            if without >= 0 and without // BLOCK == b:
-                sums[without % BLOCK] = 0
+            lo, hi = self.heads[own * self.blocks + b], self.heads[own * self.blocks + b + 1]
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            sums = np.bincount(self.where[at] - b * BLOCK, self.weight[at] * np.repeat(weights, n), BLOCK)
             hit = np.flatnonzero(sums > 0)
             found_at, found = np.concatenate([found_at, hit + b * BLOCK]), np.concatenate([found, sums[hit]])
             if len(found) > k:
@@ -117,9 +144,21 @@ class BlockMaxIndex:
         best = np.lexsort((found_at, -found))
         return found_at[best], found[best]
 
-    def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        weight = 1 / (1 - np.minimum(cosine, 1.0) + EPS)
-        return float((weight * self.labels[at]).sum() / weight.sum())
+    def vote(self, at: np.ndarray, cosine: np.ndarray, without: tuple[int, int] | None = None, k: int = K) -> float | None:
+        """Mean over the k nearest examples of 1 - distance where toxic, of 0 where not or not there.
+
+        Examples with equal vectors share their places. ``without``: (position, label)
+        of an example that is not to count.
+        """
+        size, toxic = self.size[at].copy(), self.toxic[at].copy()
+        if without:
+            own = at == without[0]
+            size[own] -= 1
+            toxic[own] -= without[1]
+        take = np.clip(k - (np.cumsum(size) - size), 0, size)
+        if not take.sum():
+            return None
+        return float((take * np.minimum(cosine, 1.0) * toxic / np.maximum(size, 1)).sum() / k)
 
 
 def monotone(votes: list[float], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,41 +180,64 @@ def monotone(votes: list[float], labels: list[int]) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, names: list[str], idf: np.ndarray, index: BlockMaxIndex | None = None):
-        self.features, self.idf, self.index = Features(names), idf, index
+    """Kept features with their idf, the index, and the map from votes to probabilities."""
+
+    def __init__(self, names: list[str], idf: np.ndarray):
+        self.names, self.idf = names, idf
+        self.index: BlockMaxIndex | None = None
         self.steps = self.levels = np.zeros(0)
         self.blank = 0.0
+        self.memory: dict[tuple, tuple[float, list[dict]]] = {}
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        v = {f: (1 + math.log(n)) * self.idf[f] for f, n in self.features.counts(text).items()}
+    def vector(self, f: list[int], n: list[int]) -> dict[int, float]:
+        v = {i: (1 + math.log(c)) * self.idf[i] for i, c in zip(f, n, strict=True)}
         norm = math.sqrt(sum(w * w for w in v.values()))
-        return {f: w / norm for f, w in v.items()} if norm > 0 else {}
-
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        at, cosine = self.index.search(self.vector(text)) if self.index else (np.zeros(0, int), np.zeros(0))
+        return {i: w / norm for i, w in v.items()} if norm > 0 else {}
+
+    def score(self, f: list[int], n: list[int]) -> tuple[float, list[dict]]:
+        key = (*f, *n)
+        if key not in self.memory:
+            if len(self.memory) > 100_000:
+                self.memory.clear()
+            self.memory[key] = self._score(self.vector(f, n))
+        return self.memory[key]
+
+    def _score(self, query: dict[int, float]) -> tuple[float, list[dict]]:
+        at, cosine = self.index.search(query) if self.index else (np.zeros(0, int), np.zeros(0))
         if not len(at):
             return self.blank, []
         vote = self.index.vote(at, cosine)
         level = self.levels[max(0, np.searchsorted(self.steps, vote, "right") - 1)] if len(self.steps) else vote
-        rows = zip(self.index.tags[at[:3]].tolist(), self.index.labels[at[:3]].tolist(), cosine[:3].tolist(), strict=True)
-        return float(level), [{"doc_id": t, "toxic": y, "cosine": c} for t, y, c in rows]
+        rows = [
+            {"doc_id": self.index.tags[p], "examples": int(self.index.size[p]), "toxic": int(self.index.toxic[p]), "cosine": c}
+            for p, c in zip(at[:3].tolist(), cosine[:3].tolist(), strict=True)
+        ]
+        return float(level), rows
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, set[str]] = {}
     n, toxic = Counter(), Counter()
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own: set[str] = set()
-            for word in set(WORD.findall((text or "").lower())):
-                if word not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[word] = grams(word)
-                own |= known[word]
-            n.update(own)
-            if label:
-                toxic.update(own)
+        for at in range(0, batch.num_rows, 2_000):
+            part = batch.slice(at, 2_000)
+            words, index, row = tokens(part.column(0))
+            labels = part.column(1).to_pylist()
+            pair = np.unique(row * (len(words) + 1) + index)
+            bounds = np.searchsorted(pair, np.arange(part.num_rows + 1) * (len(words) + 1))
+            own_words = (pair % (len(words) + 1)).tolist()
+            for k, label in enumerate(labels):
+                own: set[str] = set()
+                for w in own_words[bounds[k] : bounds[k + 1]]:
+                    word = words[w]
+                    if word and word not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[word] = grams(word)
+                    own |= known[word] if word else set()
+                n.update(own)
+                if label:
+                    toxic.update(own)
     names = list(n)
     yield pa.record_batch(
         [pa.array(names, pa.string()), pa.array([n[x] for x in names], pa.int64()), pa.array([toxic[x] for x in names], pa.int64())],
@@ -183,24 +245,12 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _document_frequency(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, count, rows = Features(names), Counter(), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for value in batch.column(0):
-                own: set[int] = set()
-                for word in set(WORD.findall((value.as_py() or "").lower())):
-                    own.update(features[word])
-                count.update(own)
-        count[-1] = rows
-        yield pa.record_batch([pa.array(count, pa.int64()), pa.array(count.values(), pa.int64())], ["feature", "n"])
-
-    return run
-
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> tuple[Model, DataFrame]:
+    """Learn from ``labels`` (doc_id, toxic); the bounds are those of the module's head.
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
-    """Learn from ``labels`` (doc_id, toxic); the bounds are those of the module's head."""
+    Returns the model and every document row's kept features (doc_id, f, n), which one
+    pass over the corpus gives for document frequencies and scores alike.
+    """
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = marks.count()
@@ -221,59 +271,54 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
     below = (a + b) * (c + d) * (a + c) * (b + d)
     chi2 = F.when(below > 0, float(n) * (a * d - b * c) * (a * d - b * c) / below).otherwise(0.0)
-    kept = counts.withColumn("chi2", chi2).filter(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "gram").limit(max_features)
+    lifted = F.col("toxic") * float(n) >= LIFT * float(pos) * F.col("n")
+    kept = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= CHI2) & lifted).orderBy(F.desc("chi2"), "gram").limit(max_features)
     names = [r["gram"] for r in kept.collect()]
-    df = texts.select("text").mapInArrow(_document_frequency(names), "feature long, n long")
-    df = {r["feature"]: r["n"] for r in df.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    rows = max(1, df.get(-1, 1))
-    idf = np.array([math.log((1 + rows) / (1 + df.get(i, 0))) for i in range(len(names))])
-    model = Model(names, idf)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.vector(v.as_py()) for v in batch.column(1)]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))],
-                ["doc_id", "toxic", "f", "w"],
-            )
-
+    rows = materialise(texts.mapInArrow(feature_counts(names), "doc_id long, f array<int>, n array<int>"), "features")
+    df = {r["f"]: r["count"] for r in rows.select(F.explode("f").alias("f")).groupBy("f").count().collect()}
+    total_docs = max(1, rows.count())
+    model = Model(names, np.array([math.log((1 + total_docs) / (1 + df.get(i, 0))) for i in range(len(names))]))
     # At most max_examples short vectors: a documented bound.
-    examples = sample.mapInArrow(vectors, "doc_id long, toxic int, f array<int>, w array<double>").collect()
+    examples = sample.select("doc_id", "toxic", "text").mapInArrow(feature_counts(names), "doc_id long, toxic int, f array<int>, n array<int>").collect()
     examples.sort(key=lambda r: r["doc_id"])
-    sparse = [dict(zip(r["f"], r["w"], strict=True)) for r in examples]
-    model.index = BlockMaxIndex(sparse, [r["doc_id"] for r in examples], [r["toxic"] for r in examples], len(names))
-    blank = [r["toxic"] for r, v in zip(examples, sparse, strict=True) if not v]
+    sparse = [model.vector(r["f"], r["n"]) for r in examples]
+    truth = [r["toxic"] for r in examples]
+    model.index = index = BlockMaxIndex(sparse, [r["doc_id"] for r in examples], truth, len(names))
+    blank = [y for y, v in zip(truth, sparse, strict=True) if not v]
     model.blank = sum(blank) / (len(blank) + 1)
-    votes, truth = [], []
-    for r, i in zip(examples, range(len(sparse)), strict=True):
-        if sparse[i]:
-            at, cosine = model.index.search(sparse[i], without=model.index.place[i])
-            if len(at):
-                votes.append(model.index.vote(at, cosine))
-                truth.append(r["toxic"])
-    model.steps, model.levels = monotone(votes, truth)
-    return model
+    near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    votes, seen = [], []
+    for i, p in index.place.items():
+        if p not in near:
+            near[p] = index.search(sparse[i], K + 1)
+        vote = index.vote(*near[p], without=(p, truth[i]))
+        if vote is not None:
+            votes.append(vote)
+            seen.append(truth[i])
+    model.steps, model.levels = monotone(votes, seen)
+    return model, rows
+
+
+EVIDENCE = "array<struct<doc_id:long,examples:int,toxic:int,cosine:double>>"
 
 
 def _scorer(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("examples", pa.int32()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
-            got = [model.score(v.as_py()) for v in batch.column(batch.num_columns - 1)]
+            got = [model.score(f, n) for f, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch(
-                [*batch.columns[:-1], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
-                [*batch.schema.names[:-1], "score", "evidence"],
+                [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
+                ["doc_id", "score", "evidence"],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document row: doc_id, score, evidence (the three nearest examples)."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(
-        _scorer(model), "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
-    )
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document row: doc_id, score, evidence (the three nearest groups of examples)."""
+    model, rows = train(docs, labels)
+    return rows.mapInArrow(_scorer(model), f"doc_id long, score double, evidence {EVIDENCE}")
 
 
 def train_folds(labels: DataFrame) -> DataFrame:
@@ -282,7 +327,7 @@ def train_folds(labels: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score(docs, train(docs, train_folds(labels)))
+    scored = score(docs, train_folds(labels))
     return scored.select(
         "doc_id",
         (fold("doc_id", 3) == 1).alias("held_out"),
