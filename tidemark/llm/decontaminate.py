@@ -120,6 +120,8 @@ def _searcher(windows: dict[tuple[int, ...], list[str]], slop: int):
                 starts, n = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["lengths"], np.int64)
                 known, heads = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["heads"], np.int64)
                 place = np.frombuffer(row["positions"], np.int32)
+                if not len(known):
+                    continue
                 count = np.zeros(most + 1, np.int64)
                 ends = np.append(heads[1:], len(place))
                 count[known] = ends - heads
@@ -222,3 +224,9 @@ def leak_report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: i
         (F.size("places") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near"),
     )
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any occurring window, with all their columns; rows that share an id share their fate."""
+    found = find_leaks(docs, bench, window).filter(F.size("places") > 0).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")
