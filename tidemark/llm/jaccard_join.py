@@ -344,7 +344,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the least id of every component, with all their columns."""
+    """The documents that stay: the least id of every component, with all their columns; rows that share an id share their fate."""
     found = jaccard_components(docs)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")

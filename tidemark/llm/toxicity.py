@@ -321,6 +321,25 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scorer(model), f"doc_id long, score double, evidence {EVIDENCE}")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; each row is judged by itself."""
+    model, _ = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = feature_counts(model.names)
+        for batch in batches:
+            texts = pa.record_batch([batch.column(at)], ["text"])
+            clean = [
+                model.score(f, n)[0] < threshold
+                for part in count(iter([texts]))
+                for f, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            ]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_folds(labels: DataFrame) -> DataFrame:
     """The labelled rows that may be learned from: crc32 of the id modulo 3 is not 1."""
     return labels.filter(fold("doc_id", 3) != 1)
