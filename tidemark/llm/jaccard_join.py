@@ -8,9 +8,10 @@ Documents with the same prefix and size form one group; only groups are joined:
 
 1. Prefix entries (shingle, group, size, position) are dealt by shingle and
    streamed in order; entries whose shingle one group alone has are dropped.
-2. Each shingle's first group is paired with the others (a star, linear in the
-   list), the pairs pass the length and positional filters, are expanded to their
-   members and verified on the whole texts; verified links form components.
+2. Each shingle's first group is the centre of a star (linear in the list). Pairs
+   that pass the length and positional filters are counted, and every group is
+   tried with the centres it shares most shingles with: their members are compared
+   by bit maps, then verified on the whole texts; verified links form components.
 3. Entries meet again by shingle, but only across different components: copies
    and near copies already linked produce no pairs, everything else is verified,
    so no link between different components is lost.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, materialise, partitions
@@ -45,6 +46,8 @@ MAX_HOT = 200_000
 CHUNK = 4_000_000
 NO_ID = -(1 << 63)
 FILTER_BITS = 1 << 22
+BITS = 1024  # of a set's bit map
+CENTRES = 3
 _MULT = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -75,6 +78,13 @@ def class_of(s: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
 
 
+def bit_map(s: np.ndarray) -> bytes:
+    """Which of BITS slots the set's hashes fall in."""
+    own = np.zeros(BITS, bool)
+    own[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(own).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -88,8 +98,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, class) of every row, and (hot, hits) of the chunk's frequent shingles."""
-    names = ["doc_id", "n", "cls", "hot", "hits"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "n", "cls", "bits", "hot", "hits"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     held: list[np.ndarray] = []
     size = 0
 
@@ -97,22 +107,23 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, count = np.unique(np.concatenate(held), return_counts=True)
         own = count >= LOCAL_HOT
         m = int(own.sum())
-        return pa.record_batch([*(pa.nulls(m, k) for k in kinds[:3]), pa.array(value[own].view(np.int64)), pa.array(count[own])], names)
+        return pa.record_batch([*(pa.nulls(m, k) for k in kinds[:4]), pa.array(value[own].view(np.int64)), pa.array(count[own])], names)
 
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
-        n, cls = [], []
+        n, cls, bits = [], [], []
         for t in texts:
             s = shingles(t.as_py())
             n.append(len(s))
             cls.append(class_of(s) if len(s) else None)
+            bits.append(bit_map(s) if len(s) else None)
             held.append(s)
             size += len(s)
             if size > CHUNK:
                 yield frequent()
                 held, size = [], 0
         m = batch.num_rows
-        yield pa.record_batch([batch.column(0), pa.array(n, kinds[1]), pa.array(cls, kinds[2]), *(pa.nulls(m, k) for k in kinds[3:])], names)
+        yield pa.record_batch([batch.column(0), pa.array(n, kinds[1]), pa.array(cls, kinds[2]), pa.array(bits, kinds[3]), *(pa.nulls(m, k) for k in kinds[4:])], names)
     if held:
         yield frequent()
 
@@ -262,6 +273,17 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every slot that one set fills and the other does not is an element they do not share."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in batch.columns[4:])
+        na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        only_a, only_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
+        most = np.minimum(na - only_a, nb - only_b)
+        ok = pa.array((NUM + DEN) * most >= NUM * (na + nb))
+        yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
+
+
 def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls = [class_of(s) if len(s := shingles(t.as_py())) else None for t in batch.column(1).cast(pa.binary())]
@@ -276,11 +298,18 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
     rows = materialise(rows.mapInArrow(_shared, "k long, v long, m long"), "prefix-lists")
     members = rows.filter("m = -1").select(F.col("k").alias("g"), F.col("v").alias("cls")).distinct()
     members = materialise(members, "group-members")
-    rep = profile.filter("n > 0").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
+    rep = profile.filter("n > 0").groupBy("cls").agg(
+        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")
+    )
+    rep = materialise(rep, "classes")
 
     def verify(pairs: DataFrame, label: str) -> DataFrame:
+        """Which (a, b) are similar: by their bit maps, then by their whole texts."""
+        side = lambda c: rep.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+        pairs = materialise(pairs.mapInArrow(_may_be_similar, "a long, b long"), f"{label}-possible")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        wanted = materialise(rep.join(ends, "cls"), f"{label}-wanted")
+        wanted = materialise(rep.select("cls", "id").join(ends, "cls"), f"{label}-wanted")
         bits = _id_bits(wanted.select("id"))
         keyed = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
         found = keyed.mapInArrow(_fetch(bits), "id long, text string")
@@ -293,22 +322,39 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
         both = with_b.join(found.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
         return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_checked, "a long, b long, ok boolean"), f"{label}-checked")
 
-    stars = rows.filter("m = -2").select(F.col("k").alias("ga"), F.col("v").alias("gb")).distinct()
-    ma, mb = members.select(F.col("g").alias("ga"), F.col("cls").alias("ca")), members.select(F.col("g").alias("gb"), F.col("cls").alias("cb"))
-    across = stars.join(ma, "ga").join(mb, "gb").select("ca", "cb")
-    inside = members.groupBy("g").agg(F.min("cls").alias("ca")).join(members, "g").select("ca", F.col("cls").alias("cb"))
-    pairs = across.union(inside).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-    pairs = materialise(pairs.filter("a <> b").distinct(), "star-pairs")
+    def expand(groups: DataFrame) -> DataFrame:
+        """Pairs of classes for pairs of groups (ga, gb)."""
+        ma, mb = members.select(F.col("g").alias("ga"), F.col("cls").alias("ca")), members.select(F.col("g").alias("gb"), F.col("cls").alias("cb"))
+        both = groups.join(ma, "ga").join(mb, "gb")
+        return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+
+    # A group is tried first with the star centre that it shares most prefix shingles with.
+    stars = rows.filter("m = -2").groupBy(F.col("k").alias("ga"), F.col("v").alias("gb")).count()
+    best = Window.partitionBy("gb").orderBy(F.desc("count"), "ga")
+    stars = materialise(stars.withColumn("try", F.row_number().over(best)).filter(F.col("try") <= CENTRES), "stars")
+    inside = members.groupBy("g").agg(F.min("cls").alias("a")).join(members.select("g", F.col("cls").alias("b")), "g").select("a", "b")
+    pairs = materialise(expand(stars.filter("try = 1")).union(inside).filter("a <> b").distinct(), "star-pairs")
     first = verify(pairs, "star")
     known = components(first.filter("ok"), "star-components")
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs of classes that no links join so far."""
+        root = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    again = materialise(apart(expand(stars.filter("try > 1")).filter("a <> b").distinct()), "star-pairs-2")
+    second = verify(again, "star-2")
+    links = first.filter("ok").union(second.filter("ok"))
+    known = components(links, "star-components-2")
+
     lists = rows.filter("m >= 0").select("k", F.col("v").alias("g"), F.shiftright("m", 32).alias("n"), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
     placed = members.join(known, members["cls"] == known["node"], "left")
     placed = placed.select("g", "cls", F.coalesce("component", "cls").alias("component"))
     lists = lists.join(placed, "g")
     # A group whose members fell apart is paired inside as well.
-    apart = placed.select(F.col("g").alias("k"), "g", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), "cls", "component")
-    lists = lists.select("k", "n", "p", "cls", "component").union(apart.select("k", "n", "p", "cls", "component"))
+    own = placed.select(F.col("g").alias("k"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), "cls", "component")
+    lists = lists.select("k", "n", "p", "cls", "component").union(own)
     mixed = lists.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k")
     lists = materialise(lists.join(mixed, "k", "left_semi"), "mixed-lists")
     x, y = lists.alias("x"), lists.alias("y")
@@ -319,16 +365,16 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
         & ((NUM + DEN) * F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= NUM * (F.col("x.n") + F.col("y.n")))
     )
     rest = x.join(y, (F.col("x.k") == F.col("y.k")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    second = verify(rest, "cross")
-    return components(first.filter("ok").union(second.filter("ok")), "components")
+    rest = materialise(rest.join(pairs.union(again), ["a", "b"], "left_anti"), "cross-pairs")
+    third = verify(rest, "cross")
+    return components(links.union(third.filter("ok")), "components")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialise(texts.mapInArrow(_profile, "doc_id long, n long, cls long, hot long, hits long"), "profile")
-    profile = rows.filter("hot is null").select("doc_id", "n", "cls")
+    rows = materialise(texts.mapInArrow(_profile, "doc_id long, n long, cls long, bits binary, hot long, hits long"), "profile")
+    profile = rows.filter("hot is null").select("doc_id", "n", "cls", "bits")
     top = rows.filter("hot is not null").groupBy("hot").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "hot").limit(MAX_HOT)
     table = top.toPandas()
     hot, hits = table["hot"].to_numpy(np.int64).view(np.uint64), table["hits"].to_numpy(np.int64)
