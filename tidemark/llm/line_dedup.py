@@ -188,34 +188,28 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     def compare(key: np.ndarray, line: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((sketch, line, key))
-        key, line, sketch = key[order], line[order], sketch[order]
+        sketch = sketch.view(np.uint64)
+        probe = (sketch & np.uint64(3)) == 2
+        order = np.lexsort((sketch, line, probe, key))
+        key, line, sketch, probe = key[order], line[order], sketch[order], probe[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (sketch[1:] != sketch[:-1])
-        key, line, sketch = key[fresh], line[fresh], sketch[fresh].view(np.uint64)
-        heads = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
-        sizes = np.diff(np.append(heads, len(key)))
-        # Runs of equal size are compared together: row i with row i + shift of the same run.
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]).tolist():
-            at = heads[sizes == size]
-            for x in range(size):
-                for y in range(x + 1, size):
-                    yield from check(at + x, at + y, line, sketch)
-        for h, size in zip(heads[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-            own = np.arange(h, h + size)
-            for x in range(0, size, 512):
-                for y in range(x, size, 512):
-                    i, j = np.meshgrid(own[x : x + 512], own[y : y + 512], indexing="ij")
-                    upper = i < j
-                    yield from check(i[upper], j[upper], line, sketch)
-
-    def check(i: np.ndarray, j: np.ndarray, line: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        role_i, role_j = sketch[i] & np.uint64(3), sketch[j] & np.uint64(3)
-        meet = (line[i] != line[j]) & (((role_i & 1 == 1) & (role_j >= 2)) | ((role_j & 1 == 1) & (role_i >= 2)))
-        i, j = i[meet], j[meet]
-        near = _distance(sketch[i], sketch[j]) <= 2 * TAU
-        if near.any():
-            yield out(line[i[near]], line[j[near]])
+        key, line, sketch, probe = key[fresh], line[fresh], sketch[fresh], probe[fresh]
+        # Index entries stand first in a key's run; each meets all that follow it.
+        ends = np.searchsorted(key, key, "right")
+        partners = np.where(probe, 0, ends - np.arange(len(key)) - 1)
+        rows = np.flatnonzero(partners)
+        upto = np.cumsum(partners[rows])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, "right")))
+            n = partners[rows[at:to]]
+            i = np.repeat(rows[at:to], n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            near = (line[i] != line[j]) & (_distance(sketch[i], sketch[j]) <= 2 * TAU)
+            if near.any():
+                yield out(line[i[near]], line[j[near]])
+            at = to
 
     held: list[pa.RecordBatch] = []
     size = 0
