@@ -129,7 +129,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(hot: np.ndarray, hits: np.ndarray):
-    """Rows (k, v, m): a prefix entry (shingle, group, size << 32 | position) or a member (group, class, -1)."""
+    """Rows (k, v, m): a prefix entry (shingle, group, position << 32 | size) or a member (group, class, -1)."""
 
     def ordered(s: np.ndarray) -> np.ndarray:
         if not len(hot):
@@ -164,7 +164,7 @@ def _entries(hot: np.ndarray, hits: np.ndarray):
                     groups.add(group)
                     k.append(head)
                     v.append(np.full(len(head), group))
-                    m.append((n << 32) + np.arange(len(head)))
+                    m.append((np.arange(len(head)) << 32) + n)
             if k:
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64, copy=False)) for c in (k, v, m)], ["k", "v", "m"])
 
@@ -178,7 +178,9 @@ def _possible(na, pa_, nb, pb):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (k, v, m). Keep members, entries of shared shingles, and add star pairs (m = -2).
+    """Rows come sorted by (k, m, v). Keep members, entries of shared shingles, and add star pairs (m = -2).
+
+    A star's centre has the shingle earliest in its prefix: it has the fewest rare shingles of its own.
 
     A run may span batches: its first row and its last row so far are all that is carried over.
     """
@@ -222,8 +224,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(k[keep], v[keep], m[keep])
         head = heads[run]
         other = np.arange(len(k)) != head
-        na, nb = m[head] >> 32, m >> 32
-        pair = other & _possible(na, m[head] & 0xFFFFFFFF, nb, m & 0xFFFFFFFF)
+        pair = other & _possible(m[head] & 0xFFFFFFFF, m[head] >> 32, m & 0xFFFFFFFF, m >> 32)
         yield out(v[head][pair], v[pair], np.full(int(pair.sum()), -2))
         tail = int(heads[-1])
         alone = bool(sizes[-1] == 1)  # a carried run has at least two rows by now
@@ -231,15 +232,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(bits: np.ndarray):
-    """Texts whose id may be wanted: a fixed-size table of id hashes."""
+    """(class, text) of rows whose id may be wanted, by a fixed-size table of id hashes.
+
+    Ids need not be unique: the text decides which class a row belongs to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             own = pa.array(bits[(_mix(ids.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)])
-            found = batch.filter(own)
-            if found.num_rows:
-                yield found
+            texts = batch.column(1).filter(own)
+            cls = [class_of(s) if len(s := shingles(t.as_py())) else None for t in texts.cast(pa.binary())]
+            if len(texts):
+                yield pa.record_batch([pa.array(cls, pa.int64()), texts], ["cls", "text"])
 
     return run
 
@@ -284,17 +289,56 @@ def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, n, p, cls, component, bits) sorted by k: pairs of one shingle but different components that may be similar."""
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, n, p, cls, component = (table.column(c).to_numpy() for c in range(5))
+        maps = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        ends = np.searchsorted(k, k, "right")
+        partners = ends - np.arange(len(k)) - 1
+        rows = np.flatnonzero(partners)
+        upto = np.cumsum(partners[rows])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, "right")))
+            many = partners[rows[at:to]]
+            i = np.repeat(rows[at:to], many)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+            ok = (component[i] != component[j]) & (cls[i] != cls[j]) & _possible(n[i], p[i], n[j], p[j])
+            i, j = i[ok], j[ok]
+            x, y = maps[i], maps[j]
+            # Sizes of 1 stand for members of one group, whose sizes are equal but not known here.
+            most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            ok = (n[i] == 1) | ((NUM + DEN) * most >= NUM * (n[i] + n[j]))
+            if ok.any():
+                a, b = cls[i[ok]], cls[j[ok]]
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            at = to
+
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        cls = [class_of(s) if len(s := shingles(t.as_py())) else None for t in batch.column(1).cast(pa.binary())]
-        yield pa.record_batch([pa.array(cls, pa.int64()), batch.column(1)], ["cls", "text"])
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.flatnonzero(keys == keys[-1])[0])
+        if size > 50_000 and (cut or held[-1].column(0)[-1].as_py() != int(keys[0])):
+            held.append(batch.slice(0, cut))
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield from compare(pa.Table.from_batches(held).combine_chunks())
 
 
 def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np.ndarray) -> DataFrame:
     """Components of classes (node, component) under verified links; unlinked classes are left out."""
     spark = texts.sparkSession
     rows = texts.select("text").mapInArrow(_entries(hot, hits), "k long, v long, m long")
-    rows = rows.repartition(partitions(spark), "k").sortWithinPartitions("k", "v", "m")
+    rows = rows.repartition(partitions(spark), "k").sortWithinPartitions("k", "m", "v")
     rows = materialise(rows.mapInArrow(_shared, "k long, v long, m long"), "prefix-lists")
     members = rows.filter("m = -1").select(F.col("k").alias("g"), F.col("v").alias("cls")).distinct()
     members = materialise(members, "group-members")
@@ -303,21 +347,17 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
     )
     rep = materialise(rep, "classes")
 
-    def verify(pairs: DataFrame, label: str) -> DataFrame:
-        """Which (a, b) are similar: by their bit maps, then by their whole texts."""
-        side = lambda c: rep.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
-        pairs = materialise(pairs.mapInArrow(_may_be_similar, "a long, b long"), f"{label}-possible")
+    def verify(pairs: DataFrame, label: str, mapped: bool = False) -> DataFrame:
+        """Which (a, b) are similar: by their bit maps (unless ``mapped``), then by their whole texts."""
+        if not mapped:
+            side = lambda c: rep.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+            pairs = materialise(pairs.mapInArrow(_may_be_similar, "a long, b long"), f"{label}-possible")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         wanted = materialise(rep.select("cls", "id").join(ends, "cls"), f"{label}-wanted")
-        bits = _id_bits(wanted.select("id"))
         keyed = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-        found = keyed.mapInArrow(_fetch(bits), "id long, text string")
-        found = found.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "text")
-        # Ids need not be unique: the text decides which class a row belongs to.
-        found = found.mapInArrow(_with_class, "cls long, text string").dropDuplicates(["cls"])
-        found = found.join(wanted.select("cls"), "cls", "left_semi")
-        found = materialise(found, f"{label}-texts")
+        found = keyed.mapInArrow(_fetch(_id_bits(wanted.select("id"))), "cls long, text string")
+        found = found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
         with_b = pairs.join(found.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         both = with_b.join(found.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
         return materialise(both.select("a", "b", "ta", "tb").mapInArrow(_checked, "a long, b long, ok boolean"), f"{label}-checked")
@@ -348,7 +388,7 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
     links = first.filter("ok").union(second.filter("ok"))
     known = components(links, "star-components-2")
 
-    lists = rows.filter("m >= 0").select("k", F.col("v").alias("g"), F.shiftright("m", 32).alias("n"), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)).alias("p"))
+    lists = rows.filter("m >= 0").select("k", F.col("v").alias("g"), F.col("m").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), F.shiftright("m", 32).alias("p"))
     placed = members.join(known, members["cls"] == known["node"], "left")
     placed = placed.select("g", "cls", F.coalesce("component", "cls").alias("component"))
     lists = lists.join(placed, "g")
@@ -356,17 +396,10 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
     own = placed.select(F.col("g").alias("k"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), "cls", "component")
     lists = lists.select("k", "n", "p", "cls", "component").union(own)
     mixed = lists.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k")
-    lists = materialise(lists.join(mixed, "k", "left_semi"), "mixed-lists")
-    x, y = lists.alias("x"), lists.alias("y")
-    fits = (
-        (F.col("x.cls") < F.col("y.cls"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n"))
-        & ((NUM + DEN) * F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= NUM * (F.col("x.n") + F.col("y.n")))
-    )
-    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    rest = materialise(rest.join(pairs.union(again), ["a", "b"], "left_anti"), "cross-pairs")
-    third = verify(rest, "cross")
+    lists = lists.join(mixed, "k", "left_semi").join(rep.select("cls", "bits"), "cls").select("k", "n", "p", "cls", "component", "bits")
+    lists = lists.repartition(partitions(spark), "k").sortWithinPartitions("k")
+    rest = materialise(lists.mapInArrow(_cross, "a long, b long").distinct(), "cross-pairs")
+    third = verify(rest, "cross", mapped=True)
     return components(links.union(third.filter("ok")), "components")
 
 
