@@ -283,7 +283,8 @@ def keyword_weighted_vector(spark, d):
 @query(r"""SELECT gram, count(*) AS n FROM (SELECT a || ' ' || b AS gram FROM (SELECT doc_id, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b
  FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS x FROM documents))) WHERE b IS NOT NULL) GROUP BY 1""")
 def bigrams(spark, d):
-    g = t(spark, d, "documents").select(F.explode(text.ngrams(text.tokens(F.col("text")), 2)).alias("gram"))
+    # A step of its own keeps the tokens from being cut anew for every n-gram.
+    g = t(spark, d, "documents").select(text.tokens(F.col("text")).alias("words")).select(F.explode(text.ngrams(F.col("words"), 2)).alias("gram"))
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
