@@ -49,6 +49,15 @@ def test_partners_share_a_key(line, edits):
     assert ld._distance(sketch.view(np.uint64)[:1], sketch.view(np.uint64)[-1:])[0] <= 2 * ld.TAU
 
 
+def test_keys_tell_texts_apart():
+    rng = np.random.default_rng(6)
+    lines = ["".join(rng.choice(list("abcdefgh "), 60)) for _ in range(2_000)]
+    keys, owners, _ = ld.signatures(np.arange(2_000), lines)
+    _, where = np.unique(keys, return_inverse=True)
+    first = {}
+    assert all(first.setdefault(w, o) == o for w, o in zip(where.tolist(), owners.tolist(), strict=True))
+
+
 def brute(rows, least=ld.MIN_CHARS):
     uses = sorted({(i is None, i or 0, t, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= least},
                   key=lambda u: (u[0], u[1]))

@@ -98,13 +98,16 @@ def selection(tau: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
+
+
 @cache
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = SLICE_CHARS + 2
-    with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate([[1], np.full(n, BASE)]).astype(np.uint64), dtype=np.uint64)
-        down = np.multiply.accumulate(np.concatenate([[1], np.full(n, pow(BASE, -1, 1 << 64))]).astype(np.uint64), dtype=np.uint64)
-    return up, down
+    """Powers of BASE and of its inverse modulo 2^64."""
+    return _powers_of(BASE, SLICE_CHARS), _powers_of(pow(BASE, -1, 1 << 64), SLICE_CHARS)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -119,9 +122,8 @@ def signatures(ids: np.ndarray, lines: list[str], tau: int = TAU) -> tuple[np.nd
     start = np.cumsum(n) - n
     up, down = _powers()
     if len(chars) >= len(up):  # one very long line
-        up = np.multiply.accumulate(np.concatenate([[1], np.full(len(chars), BASE)]).astype(np.uint64), dtype=np.uint64)
-        down = np.multiply.accumulate(np.concatenate([[1], np.full(len(chars), pow(BASE, -1, 1 << 64))]).astype(np.uint64), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], dtype=np.uint64)])
+        up, down = _powers_of(BASE, len(chars)), _powers_of(pow(BASE, -1, 1 << 64), len(chars))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], dtype=np.uint64)])
     bucket = np.repeat(np.arange(len(lines)) * BUCKETS, n) + chars % BUCKETS
     counts = (np.bincount(bucket, minlength=len(lines) * BUCKETS) & 15).reshape(-1, BUCKETS).astype(np.uint64)
     sketch = np.zeros(len(lines), np.uint64)
