@@ -142,8 +142,8 @@ def text_date(text: Column) -> Column:
 
 # Formats in the order in which they are tried; zone names at the end are dropped first.
 FORMATS = (
-    "yyyy-M-d'T'H:m:s[.SSS]XXX", "yyyy-M-d'T'H:m:s[.SSS]xx", "yyyy-M-d'T'H:m:s[.SSS]", "y-M-d H:m:s", "dd.MM.yy", "EEE, d MMM y H:m:s Z",
-    "EEE, d MMM y H:m:s", "y-M-d@H:m:s", "yyyy-MM-dd", "dd.MM.yyyy",
+    "yyyy-M-d'T'H:m:s[.SSS]XXX", "yyyy-M-d'T'H:m:s[.SSS]xx", "yyyy-M-d'T'H:m:s[.SSS]", "y-M-d H:m:s", "dd.MM.yy", "d MMM y H:m:s Z",
+    "d MMM y H:m:s", "d MMM y", "y-M-d@H:m:s", "yyyy-MM-dd", "dd.MM.yyyy",
 )
 
 
@@ -158,7 +158,9 @@ def liberal_date(text: Column, as_of: str) -> Column:
     named = F.try_make_timestamp(
         day(3).try_cast("int"), _month(day(2)), day(1).try_cast("int"), day(4).try_cast("int"), day(5).try_cast("int"), day(6).try_cast("double")
     )
-    local = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS], named)
+    # Names of days say nothing that the date does not, and the parser takes none.
+    dated = F.regexp_replace(bare, r"^\p{L}{2,4}\.?,\s*", "")
+    local = F.coalesce(*[F.try_to_timestamp(dated, F.lit(f)) for f in FORMATS], named)
     place = F.when(zone.isin("CET", "MEZ", "CEST", "MESZ"), F.lit("Europe/Berlin")).when(zone == "BST", F.lit("Europe/London")).otherwise(F.lit("UTC"))
     when = F.to_utc_timestamp(local, place)
     return F.when(is_valid(when, as_of), when)

@@ -49,7 +49,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_idf(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", r"\s+", 2)
-    return spark.read.text(path).select(parts[0].alias("term"), parts[1].try_cast("double").alias("idf")).filter("idf is not null")
+    return spark.read.text(path).select(F.get(parts, 0).alias("term"), F.get(parts, 1).try_cast("double").alias("idf")).filter("idf is not null")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +58,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def grep_index(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """URLs (second field) of the index lines that a pattern matches."""
-    return spark.read.text(path).filter(F.col("value").rlike(pattern)).select(F.split("value", r"\s+")[1].alias("url")).distinct()
+    return spark.read.text(path).filter(F.col("value").rlike(pattern)).select(F.get(F.split("value", r"\s+"), 1).alias("url")).distinct()
 
 
 def merge_seeds(specs: DataFrame, seeds: DataFrame) -> DataFrame:
