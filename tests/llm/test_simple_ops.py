@@ -155,7 +155,33 @@ def test_decontamination(spark, block, monkeypatch):
 def test_proximity(spark):
     a = "one two three four five six seven eight nine ten"
     b = "one two three four five MORE six seven eight nine ten"
+    c = "one two three four five A B C D six seven eight nine ten"
     bench = spark.createDataFrame([(1, a)], "item_id long, text string")
-    out = {r.doc_id: r for r in decontaminate.find_leaks(docs(spark, [(1, a), (2, b), (3, "one ten")]), bench, slop=1).collect()}
-    assert out[1]["items"] == ["1"] and out[1]["near_items"] == []
-    assert out[2]["items"] == [] and out[2]["near_items"] == ["1"] and out[3]["near_items"] == []
+    rows = [(1, a), (2, b), (3, "one ten"), (4, c), (5, "x " + a), (None, None)]
+    out = {r.doc_id: r for r in decontaminate.find_leaks(docs(spark, rows), bench, slop=1).collect()}
+    assert out[1]["items"] == ["1"] and out[1]["near_items"] == [] and out[5]["items"] == ["1"]
+    assert out[2]["items"] == [] and out[2]["near_items"] == ["1"]
+    assert out[3]["near_items"] == [] and out[4]["near_items"] == []
+
+
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_matches_brute_force(spark, slop):
+    rng = np.random.default_rng(8)
+    word = lambda n: list(rng.choice(["p", "q", "r", "s", "t"], n))
+    items = [(k, " ".join(word(4))) for k in range(6)]
+    rows = [(k, " ".join(word(12))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in rows:
+        w, exact, near = t.split(), set(), set()
+        for item, x in items:
+            x = x.split()
+            for b in range(-slop, len(w) + slop):
+                off = [min((abs(p - b - k) for p in range(len(w)) if w[p] == x[k]), default=99) for k in range(len(x))]
+                if max(off) <= slop:
+                    near.add(str(item))
+                if max(off) == 0:
+                    exact.add(str(item))
+        want[i] = (",".join(sorted(exact)), ",".join(sorted(near - exact)))
+    got = decontaminate.proximity_report(docs(spark, rows), bench, window=4, slop=slop).collect()
+    assert {r.doc_id: (r.exact_items, r.near_items) for r in got} == want

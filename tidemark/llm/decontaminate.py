@@ -136,6 +136,10 @@ def _searcher(windows: dict[tuple[int, ...], list[str]], slop: int):
                     a, b = lists[key[order[0]]]
                     begin = place[a:b] - order[0]
                     exact = np.ones(len(begin), bool)
+                    if slop:
+                        # Any alignment counts that leaves this term, too, within slop of its place.
+                        begin = np.unique((begin[:, None] + np.arange(-slop, slop + 1)).ravel())
+                        exact = np.isin(begin, place[a:b] - order[0])
                     for i in order[1:]:
                         a, b = lists[key[i]]
                         near, same = _near(place[a:b], begin + i, slop)
@@ -144,8 +148,8 @@ def _searcher(windows: dict[tuple[int, ...], list[str]], slop: int):
                             break
                     if not len(begin):
                         continue
-                    # A near match may lean over its document's start; its rarest term does not.
-                    doc = np.searchsorted(starts, begin + order[0], "right") - 1
+                    # A near match may lean over its document's start by slop; the gap between documents is wider.
+                    doc = np.searchsorted(starts, begin + slop, "right") - 1
                     for d, at, whole in zip(doc.tolist(), (begin - starts[doc]).tolist(), exact.tolist(), strict=True):
                         if whole:
                             cover[d].append(np.arange(at, at + len(key), dtype=np.int32))
@@ -214,15 +218,21 @@ def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: in
     )
 
 
-def leak_report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    return find_leaks(docs, bench, window, slop).select(
+def leak_report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    return find_leaks(docs, bench, window).select(
         "doc_id",
         "n_words",
         F.size("places").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("places") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near"),
+    )
+
+
+def proximity_report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
+    """One row per document row: doc_id, and the items that occur exactly, or only with words up to ``slop`` off their places."""
+    return find_leaks(docs, bench, window, slop).select(
+        "doc_id", F.array_join("items", ",").alias("exact_items"), F.array_join("near_items", ",").alias("near_items")
     )
 
 
