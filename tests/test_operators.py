@@ -210,3 +210,20 @@ def test_streaming(spark, tmp_path):
         q.stop()
     batch = frame.withColumn("ts", F.col("ts").cast("timestamp"))
     assert events.windowed(batch).count() == 3 and events.sessions(batch).agg(F.sum("n")).first()[0] == 90
+
+
+def test_idle_queues(spark, tmp_path):
+    import time
+
+    schema = "queue string, kind string, ts timestamp"
+    at = datetime(2024, 1, 1)
+    spark.createDataFrame([("a", "empty", at), ("b", "empty", at), ("b", "success", datetime(2024, 1, 1, 1))], schema).coalesce(1).write.parquet(str(tmp_path / "q"))
+    stream = events.idle_queues(spark.readStream.schema(schema).parquet(str(tmp_path / "q")), 500)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("idle").trigger(processingTime="300 milliseconds").start()
+    try:
+        until = time.time() + 40
+        while time.time() < until and not spark.sql("SELECT * FROM idle").count():
+            time.sleep(0.5)
+        assert [(r.queue, r.idle_since) for r in spark.sql("SELECT * FROM idle").collect()] == [("a", at)]
+    finally:
+        q.stop()
