@@ -212,6 +212,27 @@ def test_streaming(spark, tmp_path):
     assert events.windowed(batch).count() == 3 and events.sessions(batch).agg(F.sum("n")).first()[0] == 90
 
 
+def test_dates_of_pages(spark):
+    rows = [(1, "http://e.org/a", "<p>Seen 1.1.2001</p><p>Last modified 2.3.2004 today</p>"), (2, "http://e.org/b", "<p>On 5.6.2007 it rained</p>"),
+            (3, "http://e.org/c", "<time datetime='2009-08-07'>x</time><p>modified 2.3.2004</p>"), (4, "http://e.org/d", "<p>none 1.1.1950</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = analysis.page_dates(analysis.parse_pages(pages), "2020-01-01")
+    got = {r.page_id: r.d for r in out.select("page_id", F.to_date("date.when").cast("string").alias("d")).collect()}
+    assert got == {1: "2004-03-02", 2: "2007-06-05", 3: "2009-08-07", 4: None}
+
+
+def test_metrics(spark, tmp_path):
+    from tidemark.sources import metrics
+
+    rows = spark.createDataFrame([(0.5, ["a"]), (-1.0, [])], "relevance double, links array<string>")
+    frame, seen = metrics.observed(rows)
+    frame.write.format("noop").mode("overwrite").save()
+    assert seen.get["retrieved"] == 2 and seen.get["empty"] == 1 and seen.get["outlinks"] == 1
+    metrics.append_csv(str(tmp_path / "m.csv"), seen.get)
+    assert len((tmp_path / "m.csv").read_text().splitlines()) == 4
+    metrics.log_rows(rows, 0)
+
+
 def test_idle_queues(spark, tmp_path):
     import time
 

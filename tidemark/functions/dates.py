@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 import pandas as pd
@@ -133,11 +134,10 @@ def text_date(text: Column) -> Column:
     found = []
     for pattern, y, m, d, hour, minute in TEXT_PATTERNS:
         part = lambda k, p=pattern: F.regexp_extract(text, p, k)
-        year = part(y).try_cast("int")
-        year = F.when(year < 15, year + 2000).when(year < 100, year + 1900).otherwise(year)
         clock = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0)) if k else F.lit(0)  # noqa: B023, E731
+        year = once(part(y).try_cast("int"), lambda n: F.when(n < 15, n + 2000).when(n < 100, n + 1900).otherwise(n))
         found.append(F.try_make_timestamp(year, _month(part(m)), part(d).try_cast("int"), clock(hour), clock(minute), F.lit(0.0)))
-    return F.coalesce(*found)
+    return F.when(text.rlike(r"\d"), F.coalesce(*found))
 
 
 # Formats in the order in which they are tried; zone names at the end are dropped first.
@@ -147,23 +147,34 @@ FORMATS = (
 )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def if_valid(when: Column, as_of: str) -> Column:
+    return once(when, lambda d: F.when(is_valid(d, as_of), d))
+
+
 def liberal_date(text: Column, as_of: str) -> Column:
     """First format that fits; null outside 1990 .. ``as_of``."""
+    zones = r"\s(BST|CET|MEZ|CEST|MESZ|GMT|UTC)([+-]\d{4})?$"
     clean = F.trim(half_day(text))
-    zone = F.regexp_extract(clean, r"\s(BST|CET|MEZ|CEST|MESZ|GMT|UTC)(?:[+-]\d{4})?$", 1)
-    bare = F.regexp_replace(clean, r"\s(BST|CET|MEZ|CEST|MESZ|GMT|UTC)([+-]\d{4})?$", "")
-    # The last format spells day and month in German; their first letters are enough.
-    german = F.regexp_extract(bare, r"^\p{L}{2,3}\.?, (\d{1,2} \p{L}{3})\p{L}* (\d{4} \d\d?:\d\d:\d\d)$", 0)
-    day = lambda k: F.regexp_extract(german, r", (\d{1,2}) (\p{L}{3})\p{L}* (\d{4}) (\d\d?):(\d\d):(\d\d)", k)
-    named = F.try_make_timestamp(
-        day(3).try_cast("int"), _month(day(2)), day(1).try_cast("int"), day(4).try_cast("int"), day(5).try_cast("int"), day(6).try_cast("double")
-    )
+    zone = F.regexp_extract(clean, zones, 1)
     # Names of days say nothing that the date does not, and the parser takes none.
-    dated = F.regexp_replace(bare, r"^\p{L}{2,4}\.?,\s*", "")
-    local = F.coalesce(*[F.try_to_timestamp(dated, F.lit(f)) for f in FORMATS], named)
+    bare = F.regexp_replace(F.regexp_replace(clean, zones, ""), r"^\p{L}{2,4}\.?,\s*", "")
+
+    def parse(b: Column) -> Column:
+        # Month names of other languages: their first three letters are enough.
+        part = lambda k: F.regexp_extract(b, r"^(\d{1,2}) (\p{L}{3})\p{L}* (\d{4}) (\d\d?):(\d\d):(\d\d)$", k)
+        named = F.try_make_timestamp(
+            part(3).try_cast("int"), _month(part(2)), part(1).try_cast("int"), part(4).try_cast("int"), part(5).try_cast("int"), part(6).try_cast("double")
+        )
+        # A failed parse is costly: no text without a digit is tried.
+        return F.when(b.rlike(r"\d"), F.coalesce(*[F.try_to_timestamp(b, F.lit(f)) for f in FORMATS], named))
+
     place = F.when(zone.isin("CET", "MEZ", "CEST", "MESZ"), F.lit("Europe/Berlin")).when(zone == "BST", F.lit("Europe/London")).otherwise(F.lit("UTC"))
-    when = F.to_utc_timestamp(local, place)
-    return F.when(is_valid(when, as_of), when)
+    return if_valid(F.to_utc_timestamp(once(bare, parse), place), as_of)
 
 
 def source_rank(source: Column) -> Column:

@@ -39,18 +39,22 @@ def contains(when: Column, interval: Interval) -> Column:
     return F.coalesce((_ms(when) > start) & (_ms(when) < end), F.lit(False))
 
 
-def half_life(when: Column, interval: Interval, clamp: bool = True) -> Column:
-    """1 inside, halved every ``before`` days before the start and every ``after`` days after the end's day."""
-    t, (start, end) = _ms(when), _bounds(interval)
-    decay = lambda d, days: F.when(F.lit(days) > 0, F.exp(-d / F.lit(float(days) * DAY_MS) * F.log(F.lit(2.0)))).otherwise(
-        F.when(d > 0, 0.0).otherwise(1.0)
-    )
-    value = F.when((t > start) & (t < end), 1.0).when(t < start, decay(start - t, interval.before)).otherwise(
-        decay(t - (end + DAY_MS), interval.after)
-    )
+def half_life_between(when: Column, start: Column, end: Column, before: Column, after: Column, clamp: bool = True) -> Column:
+    """1 inside (start, end), halved every ``before`` days before the start and every ``after`` days after the end's day."""
+    t, start, end = _ms(when), _ms(start), _ms(end)
+
+    def decay(distance: Column, days: Column) -> Column:
+        value = F.exp(-distance / (days * F.lit(float(DAY_MS))) * F.log(F.lit(2.0)))
+        return F.when(days > 0, value).otherwise(F.when(distance > 0, 0.0).otherwise(1.0))
+
+    value = F.when((t > start) & (t < end), 1.0).when(t < start, decay(start - t, before)).otherwise(decay(t - (end + DAY_MS), after))
     return F.when(t.isNull(), 1.0).otherwise(F.least(F.lit(1.0), value) if clamp else value)
 
 
+def half_life(when: Column, interval: Interval, clamp: bool = True) -> Column:
+    return half_life_between(when, F.lit(interval.start), F.lit(interval.end), F.lit(interval.before), F.lit(interval.after), clamp)
+
+
 def stepwise(when: Column, interval: Interval) -> Column:
     """exp(-n), n whole pairs of days away from the interval."""
     t, (start, end) = F.unix_millis(when.cast("timestamp")), (F.unix_millis(F.lit(x).cast("timestamp")) for x in (interval.start, interval.end))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, html, relevance, urls
@@ -18,16 +20,29 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         F.concat(F.regexp_extract("url", r"^([a-zA-Z]+://[^?#]*/)", 1), x)
     ))
     links = F.array_distinct(F.transform(F.filter(full, urls.usable_link), lambda x: urls.rewrite(urls.strip_tracking(x))))
-    return parsed.select("page_id", "url", F.col("p.text").alias("text"), "p.title", links.alias("links"), F.col("p.times").alias("times"), F.col("p.metas").alias("metas"))
+    return parsed.select("page_id", "url", F.col("p.text").alias("text"), F.col("p.paragraphs").alias("paragraphs"), "p.title", links.alias("links"), F.col("p.times").alias("times"), F.col("p.metas").alias("metas"))
 
 
 def page_dates(parsed: DataFrame, as_of: str) -> DataFrame:
-    """Date cascade of parsed pages: URL, then structured dates, then dates in the text, then nothing."""
-    content = F.coalesce(F.try_element_at(F.filter(F.transform("times", lambda x: dates.liberal_date(x, as_of)), lambda d: d.isNotNull()), F.lit(1)),
-                         F.try_element_at(F.filter(F.transform("metas", lambda x: dates.liberal_date(x, as_of)), lambda d: d.isNotNull()), F.lit(1)),
-                         dates.text_date(F.col("text")))
+    """Date cascade of parsed pages: URL; else time and meta elements; else paragraphs that announce a date; else the text.
+
+    A later step is tried only where the earlier ones give no valid date.
+    """
+    def first(values: Column, parse: Callable[[Column], Column]) -> Column:
+        found = F.filter(F.transform(values, parse), lambda d: dates.is_valid(d, as_of))
+        return F.try_element_at(found, F.lit(1))
+
+    told = F.filter("paragraphs", lambda p: p.rlike(dates.TRIGGERS))
+    content = F.coalesce(
+        first(F.col("times"), lambda x: dates.liberal_date(x, as_of)),
+        first(F.col("metas"), lambda x: dates.liberal_date(x, as_of)),
+        first(told, dates.text_date),
+        first(F.col("paragraphs"), dates.text_date),
+    )
     none = F.lit(None).cast("timestamp")
-    return parsed.withColumn("date", dates.modified_date(dates.url_date_udf(as_of)("url").cast("timestamp"), content, none, as_of))
+    # Steps of their own keep the candidates from being worked out once for every use.
+    parsed = parsed.withColumn("__url", dates.url_date_udf(as_of)("url").cast("timestamp")).withColumn("__content", content)
+    return parsed.withColumn("date", dates.modified_date(F.col("__url"), F.col("__content"), none, as_of)).drop("__url", "__content")
 
 
 def analyse(pages: DataFrame, reference: DataFrame, interval: relevance.Interval, method: str, as_of: str, idf: DataFrame | None = None) -> DataFrame:

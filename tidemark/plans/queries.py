@@ -384,6 +384,18 @@ def time_relevance_exp(spark, d):
     return t(spark, d, "events").select("event_id", r6(relevance.stepwise(F.col("ts"), EVENT)).alias("time_rel"))
 
 
+@query("""WITH t(code, s, e, b, a) AS (VALUES ('early', TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-04', 5, 2), ('late', TIMESTAMP '2024-01-20', TIMESTAMP '2024-01-25', 7, 3)),
+x AS (SELECT event_id, code, epoch_us(ts) / 1000.0 AS m, epoch_us(s) / 1000.0 AS s, epoch_us(e) / 1000.0 AS e, b, a FROM events, t)
+SELECT event_id, code, round(least(1.0, CASE WHEN m > s AND m < e THEN 1.0 WHEN m < s THEN exp(-(s - m) / (b * 86400000.0) * ln(2))
+ ELSE exp(-(m - (e + 86400000)) / (a * 86400000.0) * ln(2)) END), 6) AS time_rel FROM x""")
+def time_relevance_topics(spark, d):
+    """Every event against every topic's interval; the topics are a handful of rows."""
+    rows = [("early", "2024-01-02", "2024-01-04", 5, 2), ("late", "2024-01-20", "2024-01-25", 7, 3)]
+    topics = spark.createDataFrame(rows, "code string, s string, e string, b int, a int")
+    joined = t(spark, d, "events").join(F.broadcast(topics))
+    return joined.select("event_id", "code", r6(relevance.half_life_between(F.col("ts"), F.col("s"), F.col("e"), F.col("b"), F.col("a"))).alias("time_rel"))
+
+
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15'")
 def interval_contains(spark, d):
     return t(spark, d, "events").filter(relevance.contains(F.col("ts"), EVENT)).select("event_id")
