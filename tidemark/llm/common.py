@@ -41,6 +41,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that Python workers keep from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def start_task(operator: str) -> None:
+    """Called first in a Python stage: drop what other operators' tasks left in this worker."""
+    import pyarrow as pa
+
+    for name, kept in KEPT.items():
+        if name != operator:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def fold(id_col: Column | str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (a null id: as empty text)."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, start_task
 
 # A word: bytes other than these (text as UTF-8, A-Z lower-cased).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 1_000_000
 INDEX = "shard long, docs binary, starts binary, lengths binary, terms binary, heads binary, positions binary"
 
@@ -60,6 +60,7 @@ def _builder(terms: dict[bytes, int], gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        start_task("decontaminate")
         name = TaskContext.get().partitionId() << 32
         docs, lengths, tokens, held = [], [], [], 0
         for batch in batches:

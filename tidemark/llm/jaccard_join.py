@@ -36,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialise, partitions
+from tidemark.llm.common import components, materialise, partitions, start_task
 
 WORDS = 5
 # Similarity of at least 3/4, as whole numbers.
 NUM, DEN = 3, 4
 LOCAL_HOT = 4  # documents of one chunk that make a shingle frequent
 MAX_HOT = 200_000
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 NO_ID = -(1 << 63)
 FILTER_BITS = 1 << 22
 BITS = 1024  # of a set's bit map
@@ -100,6 +100,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, class) of every row, and (hot, hits) of the chunk's frequent shingles."""
     names = ["doc_id", "n", "cls", "bits", "hot", "hits"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    start_task("jaccard_join")
     held: list[np.ndarray] = []
     size = 0
 
@@ -139,6 +140,7 @@ def _entries(hot: np.ndarray, hits: np.ndarray):
         return s[np.lexsort((s, weight))] if weight.any() else s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("jaccard_join")
         seen: set[tuple[int, int]] = set()
         groups: set[int] = set()
         for batch in batches:
@@ -266,7 +268,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def of(name: int, text: bytes) -> np.ndarray:
         if name not in held:
-            if len(held) > 64:
+            if len(held) > 16:
                 held.clear()
             held[name] = shingles(text)
         return held[name]
@@ -301,7 +303,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upto = np.cumsum(partners[rows])
         at = 0
         while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 200_000, "right")))
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 100_000, "right")))
             many = partners[rows[at:to]]
             i = np.repeat(rows[at:to], many)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
@@ -317,6 +319,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
             at = to
 
+    start_task("jaccard_join")
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -324,7 +327,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = batch.column(0).to_numpy()
         cut = int(np.flatnonzero(keys == keys[-1])[0])
-        if size > 50_000 and (cut or held[-1].column(0)[-1].as_py() != int(keys[0])):
+        if size > 20_000 and (cut or held[-1].column(0)[-1].as_py() != int(keys[0])):
             held.append(batch.slice(0, cut))
             yield from compare(pa.Table.from_batches(held).combine_chunks())
             held, size, batch = [], 0, batch.slice(cut)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialise, partitions
+from tidemark.llm.common import components, materialise, partitions, start_task
 
 TAU = 2
 MIN_CHARS = 20
@@ -148,6 +148,7 @@ def signatures(ids: np.ndarray, lines: list[str], tau: int = TAU) -> tuple[np.nd
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    start_task("line_dedup")
     seen: set[int] = set()
 
     def out(ids: list[int], lines: list[str]) -> pa.RecordBatch:
@@ -158,7 +159,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if i in seen:
                 continue
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             seen.add(i)
             text = line.as_py()

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, partitions
+from tidemark.llm.common import KEPT, materialise, partitions, start_task
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -124,7 +124,7 @@ class WordIds(dict):
         return out
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[str, WordIds] = KEPT.setdefault("packing", {})
 
 
 def _words(path: str) -> WordIds:
@@ -153,6 +153,7 @@ def _tokenise(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        start_task("packing")
         words = _words(path)
         seen = TaskContext.get().partitionId() << 40
         for ids, texts in _slices(batches):

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, materialise
+from tidemark.llm.common import fold, materialise, start_task
 
 GRAM = 5
 MAX_EXAMPLES = 20_000
@@ -60,12 +60,13 @@ def feature_counts(names: list[str]):
     """Rows to rows with their kept features: ids and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("toxicity")
         ids = {n: i for i, n in enumerate(names)}
         get, known = ids.get, {}
 
         def of(word: str) -> tuple[int, ...]:
             if word not in known:
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 padded = f"^{word}$"
                 found = {get(padded), *[get(padded[i : i + GRAM]) for i in range(len(padded) - GRAM + 1)]} - {None}
