@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, html, relevance, urls
 from tidemark.operators import vectors
+from tidemark.plans.crawl import written
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def page_dates(parsed: DataFrame, as_of: str) -> DataFrame:
 
 def analyse(pages: DataFrame, reference: DataFrame, interval: relevance.Interval, method: str, as_of: str, idf: DataFrame | None = None) -> DataFrame:
     """(page_id, url, relevance, modified, score, links); pages without text get relevance -1 and no links."""
-    parsed = page_dates(parse_pages(pages), as_of)
+    # Parsing is the costly part and its result is read several times: it is written once.
+    parsed = written(page_dates(parse_pages(pages), as_of).drop("paragraphs", "times", "metas"), "parsed")
     counts = vectors.term_counts(parsed, "page_id")
     weights = vectors.tfidf(counts, idf if idf is not None else vectors.idf_table(counts, "page_id"), "page_id")
     sims = vectors.cosine(weights, reference, "page_id")
