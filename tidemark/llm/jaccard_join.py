@@ -291,6 +291,42 @@ def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([c.filter(ok) for c in batch.columns[:2]], ["a", "b"])
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows (but the last) that never cut a run of the first column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.flatnonzero(keys == keys[-1])[0])
+        if size > rows and (cut or held[-1].column(0)[-1].as_py() != int(keys[0])):
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, n, p, cls, component) sorted by k: those of shingles that several components have.
+
+    An entry so late in its prefix that not even the list's smallest set could reach 3/4 with it is dropped.
+    """
+    start_task("jaccard_join")
+    for table in _whole_runs(batches, 50_000):
+        k, n, p, _, component = (c.to_numpy() for c in table.columns)
+        heads = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
+        run = np.cumsum(np.diff(k, prepend=k[0] - 1) != 0) - 1
+        low, high = np.minimum.reduceat(component, heads), np.maximum.reduceat(component, heads)
+        least = np.minimum.reduceat(n, heads)
+        keep = (low != high)[run] & ((NUM + DEN) * (n - p) >= NUM * (n + least[run]))
+        if keep.any():
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (k, n, p, cls, component, bits) sorted by k: pairs of one shingle but different components that may be similar."""
 
@@ -320,21 +356,8 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
     start_task("jaccard_join")
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        cut = int(np.flatnonzero(keys == keys[-1])[0])
-        if size > 20_000 and (cut or held[-1].column(0)[-1].as_py() != int(keys[0])):
-            held.append(batch.slice(0, cut))
-            yield from compare(pa.Table.from_batches(held).combine_chunks())
-            held, size, batch = [], 0, batch.slice(cut)
-        held.append(batch)
-        size += batch.num_rows
-    if held:
-        yield from compare(pa.Table.from_batches(held).combine_chunks())
+    for table in _whole_runs(batches, 20_000):
+        yield from compare(table)
 
 
 def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np.ndarray) -> DataFrame:
@@ -398,8 +421,9 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
     # A group whose members fell apart is paired inside as well.
     own = placed.select(F.col("g").alias("k"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("p"), "cls", "component")
     lists = lists.select("k", "n", "p", "cls", "component").union(own)
-    mixed = lists.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k")
-    lists = lists.join(mixed, "k", "left_semi").join(rep.select("cls", "bits"), "cls").select("k", "n", "p", "cls", "component", "bits")
+    lists = lists.repartition(partitions(spark), "k").sortWithinPartitions("k")
+    lists = lists.mapInArrow(_mixed, "k long, n long, p long, cls long, component long")
+    lists = lists.join(rep.select("cls", "bits"), "cls").select("k", "n", "p", "cls", "component", "bits")
     lists = lists.repartition(partitions(spark), "k").sortWithinPartitions("k")
     rest = materialise(lists.mapInArrow(_cross, "a long, b long").distinct(), "cross-pairs")
     third = verify(rest, "cross", mapped=True)
