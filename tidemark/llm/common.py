@@ -47,12 +47,18 @@ KEPT: dict[str, dict] = {}
 
 def start_task(operator: str) -> None:
     """Called first in a Python stage: drop what other operators' tasks left in this worker."""
+    import ctypes
+
     import pyarrow as pa
 
     for name, kept in KEPT.items():
         if name != operator:
             kept.clear()
     pa.default_memory_pool().release_unused()
+    # Freed memory goes back to the system where the C library can do that.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def fold(id_col: Column | str, modulus: int) -> Column:
