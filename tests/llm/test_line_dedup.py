@@ -119,3 +119,12 @@ def test_report_and_empty(spark):
     assert got[2].n_lines == 2 and got[2].dropped == "0" and got[2].text_sha256 == hashlib.sha256(b"own").hexdigest()
     assert got[1].n_dropped == 0 and got[3].n_lines == 0 and got[3].text_sha256 is None
     assert ld.report(docs(spark, [])).count() == 0
+
+
+def test_short_lines_collapse_when_equal(spark):
+    long = "a line that is long enough"
+    rows = [(1, f"Les.\n{long}\n \nLes."), (2, "Les.\nLex.\n \n\u00a0"), (3, "\u00a0\nLex.\n" + long[:-1]), (None, "Les.\nown"), (4, None)]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(docs(spark, rows), short=True).collect()}
+    assert got == {1: f"Les.\n{long}\n ", 2: "Lex.\n \n\u00a0", 3: "\u00a0", None: "own", 4: None}
+    told = {r.doc_id: r.dropped for r in ld.report(docs(spark, rows)).collect()}
+    assert told == {1: "3", 2: "0", 3: "1,2", None: "0", 4: ""}

@@ -66,3 +66,8 @@ def test_emptied_copies_go_and_empty_texts_stay(spark):
     out = {r.doc_id: r.text for r in cp.drop_repeated_lines(spark, docs, "").collect()}
     assert out == {1: line, 3: "", 4: None, 5: "more"}
     assert re.match("one", out[1])
+
+
+def test_short_repeated_lines_go(spark):
+    docs = spark.createDataFrame([(1, "Les.\none"), (2, "Les.\ntwo"), (3, "Les.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in cp.drop_repeated_lines(spark, docs, "").collect()} == {1: "Les.\none", 2: "two"}

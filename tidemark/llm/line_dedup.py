@@ -14,8 +14,12 @@ are dealt by hash and streamed in order; pairs must also agree in a histogram of
 their characters before their texts are fetched and verified by a banded
 bit-parallel edit distance. Only verified links form components.
 
-Defined cases: null text has no lines and stays null; shorter lines are never
-touched; a null id comes after all others; repeated rows with equal id and text
+Shorter lines belong together only when they are equal: within TAU edits of a short
+line lie too many lines that say something else. With ``short`` every shorter line
+that is not blank goes through the same hash collapse, without the edit join.
+
+Defined cases: null text has no lines and stays null; blank lines are never
+touched, nor are shorter lines without ``short``; a null id comes after all others; repeated rows with equal id and text
 share their decisions; an empty table gives an empty result; other columns are
 kept as they are.
 """
@@ -274,12 +278,17 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return components(materialise(links, "line-links"), "line-classes")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """For each (id, text hash) that loses lines: their numbers from 0, as ``drop``."""
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """For each (id, text hash) that loses lines: their numbers from 0, as ``drop``.
+
+    Lines of ``min_chars`` code points go through the edit join. With ``short``, equal
+    lines below that which are not blank collapse too.
+    """
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("own"))
-    rows = keyed.select("id", "h", F.posexplode("own").alias("at", "body")).filter(F.length("body") >= min_chars)
-    rows = rows.withColumn("line", F.xxhash64("body"))
-    classes = near_lines(rows.select("line", "body"))
+    rows = keyed.select("id", "h", F.posexplode("own").alias("at", "body"))
+    is_long = F.length("body") >= min_chars
+    rows = rows.filter(is_long | F.col("body").rlike(r"(?U)\S") if short else is_long).withColumn("line", F.xxhash64("body"))
+    classes = near_lines(rows.filter(is_long).select("line", "body"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
     uses = rows.select("id", "h", "at", "line").distinct()
     per_line = uses.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -292,9 +301,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without its dropped lines, and ``__dropped``, their numbers."""
-    lost = dropped_lines(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_chars)
+    lost = dropped_lines(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_chars, short)
     lost = lost.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("drop").alias("__dropped"))
     own = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
     out = own.join(lost, own["doc_id"].eqNullSafe(F.col("__id")) & (own["__th"] == F.col("__h")), "left")
@@ -305,7 +314,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_lines, n_dropped, the dropped numbers, and digests of the text that stays."""
-    out = dedup_lines(docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n")))
+    out = dedup_lines(docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n")), short=True)
     return out.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
