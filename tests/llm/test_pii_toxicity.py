@@ -98,6 +98,17 @@ def test_document_counts_match_brute_force(spark):
         assert got[k] == want, t
 
 
+def test_rare_entities_are_judged(spark):
+    """Entities of one or two documents have disclosing terms too; one chance meeting in several documents is none."""
+    rows = [(0, "ask Zorblax at zor@lax.org today"), (1, "call Quendix at que@dix.org today"), (2, "then Quendix at que@dix.org came")]
+    rows += [(10 + k, f"ask or call today, then came {'vermin' if k < 4 else 'plain'} words at noon") for k in range(900)]
+    rows += [(2000, "vermin wrote ver@min.org at noon")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    terms = lambda k: [rows[k][1][s.start : s.end] for s in got[rows[k][0]] if s.kind == "term"]
+    assert terms(0) == ["Zorblax"] and terms(1) == terms(2) == ["Quendix"]
+    assert terms(-1) == ["wrote"] and not any(got[k] for k in range(10, 910))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     def vector():

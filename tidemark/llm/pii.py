@@ -3,9 +3,12 @@
 Personal data that has a form (email, ip, card, phone) is found by pattern. The
 corpus then tells which other terms give such an entity away: for an entity e and
 a term t near it, PMI(e; t) = log2(n(e,t) D / (n(e) n(t))) is compared with the
-entity's information content IC(e) = log2(D / n(e)), n counting documents. A term
-with PMI >= alpha IC, seen near the entity in at least ``support`` documents,
-discloses it: where PMI >= ``remove`` IC it is removed, else generalised. Only
+entity's information content IC(e) = log2(D / n(e)), n counting documents. Few
+documents prove little, so PMI is taken at the lower end of Wilson's interval (of
+``z`` standard errors) for the share n(e,t) / n(t) of the term's documents that
+hold the entity; no count of documents is asked for. A term whose lower PMI >=
+alpha IC discloses the entity: where PMI >= ``remove`` IC it is removed, else
+generalised. Only
 terms near their entity are touched, so documents without entities stay as they
 are. n(t) counts every document; a fixed-size bit table of the candidate terms
 keeps that count from shuffling the whole vocabulary, and exact keys follow.
@@ -157,7 +160,13 @@ def _frequencies(bits: np.ndarray):
     return run
 
 
-def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95, support: int = 3) -> DataFrame:
+def _lower_share(z: float) -> F.Column:
+    """The lower end of Wilson's interval for n_et / n_t."""
+    n, p = F.col("n_t"), F.col("n_et") / F.col("n_t")
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95, z: float = 1.645) -> DataFrame:
     """One row per document row: doc_id, spans (kind, start, end, action), base and added together."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = f"row long, doc_id long, spans array<{SPAN}>, context array<{CONTEXT}>"
@@ -169,7 +178,7 @@ def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95
     pairs = scan.select(
         F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["value"], c["term"])))).alias("p")
     ).select(F.col("p.value").alias("value"), F.col("p.term").alias("term"))
-    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"))
     pairs = materialise(pairs, "co-occurrence")
     slots = pairs.select((F.crc32(F.encode("term", "UTF-8")) % BITS).cast("int").alias("b")).distinct()
     bits = np.zeros(BITS, bool)
@@ -178,8 +187,9 @@ def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95
     n_term = n_term.groupBy("term").agg(F.sum("n").alias("n_t"))
     told = pairs.join(n_value, "value").join(n_term, "term")
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    told = told.withColumn("share", F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t"))) / content)
-    told = told.filter((content >= 1) & (F.col("share") >= alpha)).select("value", "term", "share")
+    least = F.log2(_lower_share(z) * float(total) / F.col("n_e")) / content
+    share = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t"))) / content
+    told = told.filter((content > 0) & (least >= alpha)).select("value", "term", share.alias("share"))
     added = near.join(told, ["value", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     added = added.groupBy("row").agg(
