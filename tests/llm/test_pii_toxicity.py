@@ -109,6 +109,16 @@ def test_rare_entities_are_judged(spark):
     assert terms(-1) == ["wrote"] and not any(got[k] for k in range(10, 910))
 
 
+def test_terms_far_from_their_entity(spark):
+    """A disclosing term counts at any distance, and each of its places in the document is marked."""
+    far = " ".join(["plain words that all know"] * 60)
+    rows = [(k, f"Zorblax {far} write to zor@lax.org {far} says ZORBLAX") for k in range(5)]
+    rows += [(100 + k, f"write to all that says {far}") for k in range(60)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert [rows[0][1][s.start : s.end] for s in got[0]] == ["Zorblax", "zor@lax.org", "ZORBLAX"]
+    assert not any(got[k] for k in range(100, 160))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     def vector():

@@ -2,16 +2,19 @@
 
 Personal data that has a form (email, ip, card, phone) is found by pattern. The
 corpus then tells which other terms give such an entity away: for an entity e and
-a term t near it, PMI(e; t) = log2(n(e,t) D / (n(e) n(t))) is compared with the
-entity's information content IC(e) = log2(D / n(e)), n counting documents. Few
-documents prove little, so PMI is taken at the lower end of Wilson's interval (of
-``z`` standard errors) for the share n(e,t) / n(t) of the term's documents that
-hold the entity; no count of documents is asked for. A term whose lower PMI >=
-alpha IC discloses the entity: where PMI >= ``remove`` IC it is removed, else
-generalised. Only
-terms near their entity are touched, so documents without entities stay as they
-are. n(t) counts every document; a fixed-size bit table of the candidate terms
-keeps that count from shuffling the whole vocabulary, and exact keys follow.
+a term t that share a document, PMI(e; t) = log2(n(e,t) D / (n(e) n(t))) is
+compared with the entity's information content IC(e) = log2(D / n(e)), n counting
+documents. Few documents prove little, so PMI is taken at the lower end of
+Wilson's interval (of ``z`` standard errors) for the share n(e,t) / n(t) of the
+term's documents that hold the entity; no count of documents is asked for. A term
+whose lower PMI >= alpha IC discloses the entity: where PMI >= ``remove`` IC it is
+removed, else generalised, wherever it stands in documents that hold the entity;
+documents without entities stay as they are.
+
+The lower end is at most n(e,t) / n(t), and n(e,t) <= n(e), so no term of more
+than n(e)^alpha D^(1 - alpha) documents discloses e: only rarer terms are paired
+with it. The most frequent words go by a broadcast of ``COMMON`` rows before the
+join that tells the other terms' counts, so that none of them meets in one task.
 
 Defined cases: null and empty texts have no spans; a null id is kept as null;
 repeated rows are reported one by one and counted as documents each; an empty
@@ -22,11 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +42,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-NEAR = 200  # code points looked at on either side of an entity
-TERMS = 8  # terms taken on either side
-BITS = 1 << 20
+COMMON = 20_000  # words whose counts are broadcast
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
-CONTEXT = "struct<value:string,term:string,start:int,end:int>"
+ADDED = "array<struct<term:string,action:string>>"
+FOUND = "array<struct<kind:string,start:int,end:int,action:string>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -100,64 +100,69 @@ def _value(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower() if kind in ('email', 'ip') else ''.join(c for c in raw if c.isdigit())}"
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """Terms near each entity that lie in no base span: (value, term, start, end)."""
-    out = []
-    for kind, a, b in spans:
-        value = _value(kind, text[a:b])
-        lo = max(0, a - NEAR)
-        left = [m for m in TERM.finditer(text, lo, a)][-TERMS:]
-        right = [m for _, m in zip(range(TERMS), TERM.finditer(text, b, b + NEAR), strict=False)]
-        for m in left + right:
-            cut = m.start() == lo > 0 or m.end() == b + NEAR < len(text)
-            if not cut and not any(m.start() < e and s < m.end() for _, s, e in spans):
-                out.append((value, m.group().lower(), m.start(), m.end()))
-    return out
+def _terms(text: str, spans: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """Words that touch none of the spans, which come by start."""
+    at = done = 0
+    for m in TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            done = max(done, spans[at][1])
+            at += 1
+        if done <= m.start():
+            yield m
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of every row; text and distinct terms of the rows that have any."""
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 40
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    near = pa.list_(pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans, context = [], []
+        spans, terms, held = [], [], []
         for value in batch.column(1):
             text = value.as_py() or ""
             own = base_spans(text)
             spans.append([{"kind": k, "start": a, "end": b, "value": _value(k, text[a:b])} for k, a, b in own])
-            context.append([dict(zip(("value", "term", "start", "end"), c, strict=True)) for c in (_context(text, own) if own else ())])
+            terms.append(sorted({m.group().lower() for m in _terms(text, [s[1:] for s in own])}) if own else [])
+            held.append(text if own else None)
         keys = pa.array(range(row, row + batch.num_rows), pa.int64())
         row += batch.num_rows
         yield pa.record_batch(
-            [keys, batch.column(0), pa.array(spans, span), pa.array(context, near)], ["row", "doc_id", "spans", "context"]
+            [keys, batch.column(0), pa.array(spans, span), pa.array(terms, pa.list_(pa.string())), pa.array(held, pa.string())],
+            ["row", "doc_id", "spans", "terms", "held"],
         )
 
 
-def _frequencies(bits: np.ndarray):
-    class Known(dict):
-        def __missing__(self, word: str) -> bool:
-            got = bool(bits[zlib.crc32(word.encode("utf-8", "surrogatepass")) % BITS])
-            if len(self) > 500_000:
-                self.clear()
-            self[word] = got
-            return got
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each term, added up until there are too many terms to hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = Known(), Counter()
-        if not bits.any():
-            return
-        for batch in batches:
-            for value in batch.column(0):
-                words = {w.lower() for w in set(TERM.findall(value.as_py() or ""))}
-                count.update(filter(known.__getitem__, words))
-                if len(count) > 500_000:
-                    yield pa.record_batch([pa.array(count, pa.string()), pa.array(count.values(), pa.int64())], ["term", "n"])
-                    count = Counter()
-        yield pa.record_batch([pa.array(count, pa.string()), pa.array(count.values(), pa.int64())], ["term", "n"])
+    def out(count: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(count, pa.string()), pa.array(count.values(), pa.int64())], ["term", "n"])
 
-    return run
+    count = Counter()
+    for batch in batches:
+        for value in batch.column(0):
+            count.update({w.lower() for w in set(TERM.findall(value.as_py() or ""))})
+            if len(count) > 500_000:
+                yield out(count)
+                count = Counter()
+    yield out(count)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and every place of the row's disclosing terms, by start."""
+    found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("action", pa.string())]))
+    for batch in batches:
+        rows = []
+        for spans, text, more in zip(*(batch.column(c).to_pylist() for c in ("spans", "held", "more")), strict=True):
+            out = [(s["start"], KINDS.index(s["kind"]), s["kind"], s["end"], "remove") for s in spans]
+            if more:
+                action = {m["term"]: m["action"] for m in more}
+                for m in _terms(text, [(s["start"], s["end"]) for s in spans]):
+                    if m.group().lower() in action:
+                        out.append((m.start(), KINDS.index("term"), "term", m.end(), action[m.group().lower()]))
+            rows.append([{"kind": k, "start": a, "end": b, "action": do} for a, _, k, b, do in sorted(out)])
+        yield pa.record_batch([batch.column(0), pa.array(rows, found)], ["doc_id", "spans"])
 
 
 def _lower_share(z: float) -> F.Column:
@@ -169,40 +174,32 @@ def _lower_share(z: float) -> F.Column:
 def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95, z: float = 1.645) -> DataFrame:
     """One row per document row: doc_id, spans (kind, start, end, action), base and added together."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = f"row long, doc_id long, spans array<{SPAN}>, context array<{CONTEXT}>"
+    schema = f"row long, doc_id long, spans array<{SPAN}>, terms array<string>, held string"
     scan = materialise(texts.mapInArrow(_scan, schema), "personal-data")
-    total = scan.count()
-    values = scan.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    total = float(scan.count())
+    values = scan.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
     n_value = values.groupBy("value").agg(F.count(F.lit(1)).alias("n_e"))
-    near = scan.select("row", F.explode("context").alias("c")).select("row", "c.*")
-    pairs = scan.select(
-        F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["value"], c["term"])))).alias("p")
-    ).select(F.col("p.value").alias("value"), F.col("p.term").alias("term"))
-    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = materialise(pairs, "co-occurrence")
-    slots = pairs.select((F.crc32(F.encode("term", "UTF-8")) % BITS).cast("int").alias("b")).distinct()
-    bits = np.zeros(BITS, bool)
-    bits[[r["b"] for r in slots.collect()]] = True
-    n_term = texts.select("text").mapInArrow(_frequencies(bits), "term string, n long")
-    n_term = n_term.groupBy("term").agg(F.sum("n").alias("n_t"))
-    told = pairs.join(n_value, "value").join(n_term, "term")
-    content = F.log2(F.lit(float(total)) / F.col("n_e"))
-    least = F.log2(_lower_share(z) * float(total) / F.col("n_e")) / content
-    share = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t"))) / content
-    told = told.filter((content > 0) & (least >= alpha)).select("value", "term", share.alias("share"))
-    added = near.join(told, ["value", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    # A little more than the bound, for rounding.
+    n_value = n_value.withColumn("most", F.pow("n_e", F.lit(alpha)) * max(total, 1.0) ** (1 - alpha) + 1e-6)
+    values = materialise(values.join(n_value, "value"), "entities")
+    n_term = texts.select("text").mapInArrow(_frequencies, "term string, n long")
+    n_term = materialise(n_term.groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
+    common = F.broadcast(n_term.orderBy(F.desc("n_t")).limit(COMMON).select("term", F.col("n_t").alias("n_c")))
+    rare = scan.select("row", F.explode("terms").alias("term")).join(values.groupBy("row").agg(F.max("most").alias("top")), "row")
+    rare = rare.join(common, "term", "left").filter(F.col("n_c").isNull() | (F.col("n_c") <= F.col("top")))
+    rare = rare.join(n_term, "term").filter(F.col("n_t") <= F.col("top"))
+    rare = materialise(rare.select("row", "term", "n_t"), "rare-terms")
+    pairs = values.join(rare, "row").filter(F.col("n_t") <= F.col("most"))
+    counts = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    content = F.log2(F.lit(total) / F.col("n_e"))
+    least = F.log2(_lower_share(z) * total / F.col("n_e")) / content
+    share = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / content
+    told = counts.filter((content > 0) & (least >= alpha)).select("value", "term", share.alias("share"))
+    added = pairs.select("row", "value", "term").join(told, ["value", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    added = added.groupBy("row").agg(
-        F.collect_list(F.struct(F.col("start"), F.lit(KINDS.index("term")).alias("k"), F.lit("term").alias("kind"), F.col("end"), action.alias("action"))).alias("more")
-    )
-    order = F.create_map(*[F.lit(x) for k, v in enumerate(KINDS) for x in (v, k)])
-    base = F.transform(
-        "spans",
-        lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("k"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("remove").alias("action")),
-    )
-    merged = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<start:int,k:int,kind:string,end:int,action:string>>"))))
-    out = F.transform(merged, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["action"].alias("action")))
-    return scan.select("row", "doc_id", "spans").join(added, "row", "left").select("doc_id", out.alias("spans"))
+    added = added.groupBy("row").agg(F.collect_list(F.struct("term", action.alias("action"))).cast(ADDED).alias("more"))
+    out = scan.select("row", "doc_id", "spans", "held").join(added, "row", "left").select("doc_id", "spans", "held", "more")
+    return out.mapInArrow(_merge, f"doc_id long, spans {FOUND}")
 
 
 def span_text(spans) -> F.Column:
