@@ -3,6 +3,7 @@
 import gzip
 import json
 import zipfile
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -132,6 +133,20 @@ def test_languages(spark):
     assert langid.generate([("", "a", 1), ("a", "", 1)], 1) == "a"
 
 
+def test_languages_over_whole_texts(spark):
+    """A text is judged and learned from all of its bytes, however long its head."""
+    head, tail = "the house and the garden with the tree " * 110, "das haus und der garten mit dem baum " * 600
+    assert len(head) > 4_096
+    rows = [("en", "the house and the garden with the tree")] * 5 + [("de", "das haus und der garten mit dem baum")] * 5
+    guess = langid.classifier(langid.train(spark.createDataFrame(rows, "lang string, text string"), 500))
+    asked = spark.createDataFrame([(head + tail,), (head,)], "text string")
+    assert [r.g.lang for r in asked.select(guess("text").alias("g")).collect()] == ["de", "en"]
+    mixed = [("en", head + "zq"), ("en", "zq"), ("de", "é")]
+    got = {(r.lang, bytes(r.feature)): r.n for r in langid.count_features(spark.createDataFrame(mixed, "lang string, text string")).collect()}
+    want = Counter((lang, t.encode()[i : i + n]) for lang, t in mixed for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1))
+    assert got == want and got["en", b"zq"] == 2
+
+
 def test_page_analysis(spark):
     page = "<html><head><meta name='date' content='2010-05-01'></head><body><p>alpha beta</p><a href='/x?utm_a=1'>n</a><a href='mailto:z'>m</a></body></html>"
     pages = spark.createDataFrame([(1, "http://e.org/d/p.html", page), (2, "http://e.org/2010/05/02/", "<p>gamma</p>"), (3, "http://e.org/", "<p> </p>")], "page_id long, url string, html string")

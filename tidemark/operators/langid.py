@@ -14,11 +14,10 @@ from pyspark.sql import functions as F
 
 SIZES = (1, 2, 3)
 MAX_FEATURES = 3_000
-HEAD = 4_096  # bytes of a text that decide on its language
 
 
 def features(text: str | None) -> Counter:
-    data = (text or "").lower().encode()[:HEAD]
+    data = (text or "").lower().encode()
     return Counter(data[i : i + n] for n in SIZES for i in range(len(data) - n + 1))
 
 
