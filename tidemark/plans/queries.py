@@ -525,6 +525,15 @@ def crawl_rounds(spark, d):
     return out.results.select("url", F.length("path").alias("depth"))
 
 
+@query("""SELECT 'http://o' || o_orderkey || '.org/' AS url, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) // 2 + 1)::INTEGER AS depth FROM orders""")
+def crawl_to_end(spark, d):
+    """Breadth-first rounds from the first order of every customer until the queue is empty."""
+    graph = _graph(spark, d)
+    first = graph.groupBy("o_custkey").agg(F.min_by("url", "o_orderkey").alias("url")).select("url")
+    out = crawling.crawl(first, graph.drop("o_orderkey", "o_custkey"), batch=10_000_000, stop=crawling.queue_empty(), max_rounds=1_000_000)
+    return out.results.select("url", F.length("path").alias("depth"))
+
+
 # -- sources, sinks, grid, evaluation -----------------------------------------------------
 @query("""SELECT 'http://e' || event_id || '.org/' AS url, CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
  CASE WHEN event_type <> 'error' THEN round(value, 6) END AS relevance FROM events""")
