@@ -48,7 +48,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, str(rows))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``frames``, once everything derived from them is written as well."""
+    for df in frames:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, ``base`` if possible."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 #: Tables that Python workers keep from task to task, by operator.
@@ -83,7 +101,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """Connected components of undirected ``edges`` (a, b longs): (node, component), the component its least node.
+    """Connected components of undirected ``edges`` (a, b of one orderable type): (node, component), the component its least node.
 
     Labels spread to neighbours and then jump to the label of their label, so the
     number of rounds grows with the logarithm of a component's diameter. Every
@@ -97,9 +115,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         spread = labels.join(near, labels["node"] == near["a"])
         spread = spread.select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         spread = materialise(spread, label)
+        forget(labels)
         jump = spread.select(F.col("node").alias("at"), F.col("component").alias("root"))
         moved = spread.join(jump, spread["component"] == jump["at"])
-        moved = materialise(moved.select("node", "old", F.col("root").alias("component")), label)
-        labels = moved.select("node", "component")
-        if not moved.filter("old <> component").limit(1).count():
-            return labels
+        labels = materialise(moved.select("node", F.col("root").alias("component"), (F.col("old") != F.col("root")).alias("changed")), label)
+        forget(spread)
+        if not labels.filter("changed").limit(1).count():
+            forget(both)
+            return labels.select("node", "component")
