@@ -176,3 +176,90 @@ def test_toxicity_held_out(spark):
 
 def test_grams():
     assert toxicity.grams("ab") == {"^ab$"} and toxicity.grams("abcd") == {"^abcd", "abcd$", "^abcd$"}
+
+
+def test_false_discovery_rate():
+    p = lambda x: math.erfc(math.sqrt(x / 2))
+    rng = np.random.default_rng(1)
+    for m in (50, 5_000):
+        chi2 = np.concatenate([rng.chisquare(1, m), rng.uniform(15, 60, m // 10)])
+        steps = {}
+        for x in chi2:
+            steps[int(x * toxicity.STEPS[0])] = steps.get(int(x * toxicity.STEPS[0]), 0) + 1
+        low = np.floor(chi2 * toxicity.STEPS[0]) / toxicity.STEPS[0]
+        ok = [x for x in sorted(low) if p(x) <= toxicity.FDR * (low >= x).sum() / len(chi2)]
+        assert toxicity.least_chi2(steps, len(chi2)) == (ok[0] if ok else math.inf)
+    assert toxicity.least_chi2({0: 5, 100: 3}, 8) == math.inf
+
+
+def marked(spark, seed):
+    rng = np.random.default_rng(seed)
+    words = [a + b for a in "bcdfghklmn" for b in ("ado", "iru", "esta", "onel")]
+    rows, marks = [], []
+    for k in range(400):
+        body = list(rng.choice(words, int(rng.integers(5, 40))))
+        if k % 5 == 0:
+            body[1:3] = rng.choice(["vilezo", "vilexa", "grotch"], 2)
+        elif k % 5 == 1:
+            body[1] = "kindly"
+        rows.append((k, " ".join(body)))
+        marks.append((k, int(k % 5 == 0)))
+    rows += [(900, ""), (901, None), (902, "ado iru")]
+    return rows, spark.createDataFrame(marks, "doc_id long, toxic int")
+
+
+def test_scores_match_brute_force(spark):
+    """Cosine with every example, k nearest with ties by place, votes and the fitted map, all recomputed."""
+    rows, labels = marked(spark, 8)
+    frame = docs(spark, rows)
+    model, features, _ = toxicity.train(frame, labels)
+    assert any("kindly" in n for n in model.names) and any("vile" in n for n in model.names)  # both leanings
+    counts = {r.doc_id: dict(zip(r.f, r.n)) for r in features.collect()}
+    n = len(rows)
+    df = {f: sum(f in c for c in counts.values()) for f in range(len(model.names))}
+    for i, text in rows:
+        own = {}
+        for w in (text or "").lower().split():
+            for g in toxicity.grams(w):
+                if g in model.names:
+                    own[model.names.index(g)] = own.get(model.names.index(g), 0) + 1
+        assert own == counts[i]
+    def unit(c):
+        v = {f: (1 + math.log(k)) * math.log((1 + n) / (1 + df[f])) for f, k in c.items()}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        return {f: w / size for f, w in v.items()} if size else {}
+    label = {k: int(k % 5 == 0) for k in range(400)}
+    groups = {}
+    for k in range(400):
+        if counts[k]:
+            groups.setdefault(tuple(sorted(counts[k].items())), []).append(k)
+    place = {tuple(sorted(counts[k].items())): model.index.place[i] for i, k in enumerate(range(400)) if counts[k]}
+    got = {r.doc_id: r for r in toxicity.score(frame, labels).collect()}
+    for i, _ in rows:
+        q = unit(counts[i])
+        near = [(-sum(w * unit(dict(g)).get(f, 0) for f, w in q.items()), place[g], g) for g in groups]
+        near = sorted((c, p, g) for c, p, g in near if c < -1e-15)
+        left, vote = toxicity.K, 0.0
+        for c, _, g in near:
+            take = min(left, len(groups[g]))
+            vote += take * min(-c, 1.0) * sum(label[k] for k in groups[g]) / len(groups[g])
+            left -= take
+        vote /= toxicity.K
+        want = model.levels[max(0, np.searchsorted(model.steps, vote + 1e-12, "right") - 1)] if near else model.blank
+        assert abs(got[i].score - want) < 1e-9, i
+
+
+def test_keep_clean_agrees_with_scores(spark):
+    rows, labels = marked(spark, 9)
+    frame = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, f long, own string")
+    stay = {r.doc_id for r in toxicity.score(frame, labels).filter("score < 0.7").collect()}
+    kept = toxicity.keep_clean(frame, labels)
+    assert kept.columns == frame.columns
+    got = kept.collect()
+    assert {r.doc_id for r in got} == stay and len(got) == len(stay) and all(r.f == r.doc_id for r in got)
+
+
+def test_sample_is_bounded(spark):
+    rows, labels = marked(spark, 10)
+    model, _, _ = toxicity.train(docs(spark, rows), labels, max_examples=200)
+    assert 50 <= model.index.size.sum() <= 260

@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded, documented sample of labelled rows (``max_examples``) gives the
-examples. Features are whole words and character 5-grams of words; those that a
-chi-square test on the examples ties to the toxic label are kept (``max_features``).
+examples. Features are whole words and character 5-grams of words. In texts of many
+rare words a cosine over all of them says little about a label (README), so the
+space is that of the features tied to the label, either way: those that a
+chi-square test on the examples finds at a false-discovery rate of ``FDR`` and
+whose presence at least doubles or halves the share of toxic examples (``EFFECT``).
+The rule has no fixed number of features, examples or occurrences in it.
 Weights are (1 + ln tf) idf with document frequencies counted over the whole
 corpus. The examples form a block-max inverted index: postings in blocks of
 examples, each with its largest weight per feature, so that blocks whose bound
 cannot reach the k-th best cosine are skipped and the answer stays exact. The
 k nearest examples vote with weight 1 - distance; a monotone map fitted on the
 examples themselves (each judged without itself) turns votes into probabilities.
-Index, features and map have fixed bounds, so only bounded objects are broadcast.
+Index, features and map come from the bounded sample, so only bounded objects are broadcast.
 
 Defined cases: null and empty texts, and texts without kept features, get the
 rate of such examples; a null id is judged like any other; repeated rows are
@@ -28,15 +32,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, materialise, start_task
+from tidemark.llm.common import fold, forget, free_name, materialise, start_task
 
 GRAM = 5
 MAX_EXAMPLES = 20_000
-MAX_FEATURES = 2_048
-MIN_DOCS = 4
-CHI2 = 30.0
-LIFT = 2.0  # a kept feature is toxic at least this many times as often as the examples
+FDR = 0.01
+EFFECT = 2.0  # in large samples every common word of a topic is significant, but says next to nothing
+STEPS = 100, 10_000  # steps of one unit of chi-square, and in all, for the false-discovery rate
 K = 15
 BLOCK = 64
 
@@ -56,8 +60,8 @@ def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(bounds))
 
 
-def feature_counts(names: list[str]):
-    """Rows to rows with their kept features: ids and counts."""
+def feature_counts(names: list[str], to: tuple[str, str] = ("f", "n")):
+    """Rows to rows without their last column, the text, but with its kept features: ids and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_task("toxicity")
@@ -90,7 +94,7 @@ def feature_counts(names: list[str]):
                 lists = [
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (key % max(1, len(names)), count)
                 ]
-                yield pa.record_batch([*part.columns[:-1], *lists], [*part.schema.names[:-1], "f", "n"])
+                yield pa.record_batch([*part.columns[:-1], *lists], [*part.schema.names[:-1], *to])
 
     return run
 
@@ -246,18 +250,33 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> tuple[Model, DataFrame]:
-    """Learn from ``labels`` (doc_id, toxic); the bounds are those of the module's head.
+def least_chi2(steps: dict[int, int], m: int, fdr: float = FDR) -> float:
+    """Benjamini and Hochberg's bound: the least chi-square with p <= fdr * (features of at least that) / m.
 
-    Returns the model and every document row's kept features (doc_id, f, n), which one
-    pass over the corpus gives for document frequencies and scores alike.
+    ``steps``: features by whole steps of chi-square, each taken at its lower end.
+    """
+    above, least = 0, math.inf
+    for step in sorted(steps, reverse=True):
+        above += steps[step]
+        chi2 = step / STEPS[0]
+        if math.erfc(math.sqrt(chi2 / 2)) <= fdr * above / max(1, m):
+            least = chi2
+    return least
+
+
+def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, whole: bool = False) -> tuple[Model, DataFrame, tuple[str, str]]:
+    """Learn from ``labels`` (doc_id, toxic); ``max_examples`` bounds the labelled rows that are used.
+
+    Returns the model, and every document row's doc_id (``whole``: all its columns) and kept
+    features, whose columns' names come last; one pass over the corpus gives them for
+    document frequencies and scores alike.
     """
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = marks.count()
     # A hash threshold picks about max_examples rows, spread over the whole table.
-    share = min(1.0, max_examples / max(1, total))
-    marks = marks.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    if total > max_examples:
+        marks = marks.filter(F.xxhash64("id") < (1 << 64) * max_examples // total - (1 << 63))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     sample = texts.join(F.broadcast(marks), texts["doc_id"] == marks["id"])
     # Copies of one text would vote many times for its chance words.
@@ -267,16 +286,27 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     sample = materialise(sample.select("doc_id", "text", "toxic"), "examples")
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = sample.select("text", "toxic").mapInArrow(_gram_counts, "gram string, n long, toxic long")
-    counts = counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= MIN_DOCS)
+    counts = counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic").cast("double"), (F.col("n") - F.col("toxic")).cast("double")
     c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
     below = (a + b) * (c + d) * (a + c) * (b + d)
-    chi2 = F.when(below > 0, float(n) * (a * d - b * c) * (a * d - b * c) / below).otherwise(0.0)
-    lifted = F.col("toxic") * float(n) >= LIFT * float(pos) * F.col("n")
-    kept = counts.withColumn("chi2", chi2).filter((F.col("chi2") >= CHI2) & lifted).orderBy(F.desc("chi2"), "gram").limit(max_features)
-    names = [r["gram"] for r in kept.collect()]
-    rows = materialise(texts.mapInArrow(feature_counts(names), "doc_id long, f array<int>, n array<int>"), "features")
-    df = {r["f"]: r["count"] for r in rows.select(F.explode("f").alias("f")).groupBy("f").count().collect()}
+    # Yates's correction, for small counts.
+    off = F.greatest(F.abs(a * d - b * c) - n / 2, F.lit(0.0))
+    counts = materialise(counts.withColumn("chi2", F.when(below > 0, float(n) * off * off / below).otherwise(0.0)), "feature-counts")
+    # Toxic examples with the feature, against as many as its examples would have at the rate of all.
+    even = float(pos) / max(1, n) * F.col("n")
+    strong, weak = F.col("toxic") >= EFFECT * even, F.col("toxic") * EFFECT <= even
+    step = F.least(F.floor(F.col("chi2") * STEPS[0]), F.lit(STEPS[0] * STEPS[1]))
+    # Not more rows than there are steps.
+    steps = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
+    least = least_chi2(steps, sum(steps.values()))
+    names = [r["gram"] for r in counts.filter((F.col("chi2") >= least) & (strong | weak)).orderBy("gram").collect()] if least < math.inf else []
+    forget(counts)
+    f, m = (free_name(docs, c) for c in ("f", "n")) if whole else ("f", "n")
+    own = docs.select("*", F.col("text").cast("string").alias(free_name(docs, "own"))) if whole else texts
+    kept = [*(docs.schema.fields if whole else texts.schema.fields[:1]), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in (f, m))]
+    rows = materialise(own.mapInArrow(feature_counts(names, (f, m)), T.StructType(kept)), "features")
+    df = {r["f"]: r["count"] for r in rows.select(F.explode(f).alias("f")).groupBy("f").count().collect()}
     total_docs = max(1, rows.count())
     model = Model(names, np.array([math.log((1 + total_docs) / (1 + df.get(i, 0))) for i in range(len(names))]))
     # At most max_examples short vectors: a documented bound.
@@ -297,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
             votes.append(vote)
             seen.append(truth[i])
     model.steps, model.levels = monotone(votes, seen)
-    return model, rows
+    return model, rows, (f, m)
 
 
 EVIDENCE = "array<struct<doc_id:long,examples:int,toxic:int,cosine:double>>"
@@ -318,27 +348,22 @@ def _scorer(model: Model) -> Callable:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, score, evidence (the three nearest groups of examples)."""
-    model, rows = train(docs, labels)
+    model, rows, _ = train(docs, labels)
     return rows.mapInArrow(_scorer(model), f"doc_id long, score double, evidence {EVIDENCE}")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns; each row is judged by itself."""
-    model, _ = train(docs, labels)
-    at = docs.columns.index("text")
+    model, rows, (f, m) = train(docs, labels, whole=True)
+    names, width = rows.columns, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = feature_counts(model.names)
         for batch in batches:
-            texts = pa.record_batch([batch.column(at)], ["text"])
-            clean = [
-                model.score(f, n)[0] < threshold
-                for part in count(iter([texts]))
-                for f, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
-            ]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            own = zip(batch.column(names.index(f)).to_pylist(), batch.column(names.index(m)).to_pylist(), strict=True)
+            clean = [model.score(x, y)[0] < threshold for x, y in own]
+            yield batch.select(names[:width]).filter(pa.array(clean, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def train_folds(labels: DataFrame) -> DataFrame:
