@@ -29,9 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occurred before go; so do documents of which nothing but white space is left by that."""
     out = line_dedup.dedup_lines(docs, short=True)
-    out = out.filter(F.col("__dropped").isNull() | (F.length(F.trim("text")) > 0))
+    untouched = F.col(out.columns[-1]).isNull()
+    out = out.filter(untouched | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

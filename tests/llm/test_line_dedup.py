@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,7 +109,7 @@ def test_against_all_pairs(spark, batch):
         got = out.collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert out.columns == ["doc_id", "text", "line", "drop", "__dropped"]
+    assert out.columns == ["doc_id", "text", "line", "drop", "dropped_lines"]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(brute([r for r in rows if not (r[1] or "").startswith("w" * 50)]) + [(103, "w" * 90_000), (104, "short")], key=key)
 
@@ -128,3 +129,45 @@ def test_short_lines_collapse_when_equal(spark):
     assert got == {1: f"Les.\n{long}\n ", 2: "Lex.\n \n\u00a0", 3: "\u00a0", None: "own", 4: None}
     told = {r.doc_id: r.dropped for r in ld.report(docs(spark, rows)).collect()}
     assert told == {1: "3", 2: "0", 3: "1,2", None: "0", 4: ""}
+
+
+@pytest.mark.parametrize("block", [7, 64, 4_096])
+def test_lines_of_one_hot_key(spark, block):
+    """All lines share their first third; runs longer than a block are dealt in pairs of blocks, with the same classes."""
+    rng = np.random.default_rng(11)
+    first = "the same beginning of every line "
+    lines = [first + "".join(rng.choice(list("abcdefgh"), 66)) for _ in range(600)]
+    near = {}
+    for k in range(0, 600, 40):
+        near[k] = lines[k][:-2] + "zz"
+    every = lines + list(near.values())
+    frame = spark.createDataFrame([(hashlib.md5(t.encode()).digest(), t) for t in every], "line binary, body string")
+    frame = frame.selectExpr("line", "xxhash64(body) AS h", "body").repartition(3)
+    got = {}
+    for r in ld.near_lines(frame, block).collect():
+        got.setdefault(bytes(r.component), set()).add(bytes(r.node))
+    want = {frozenset((hashlib.md5(lines[k].encode()).digest(), hashlib.md5(t.encode()).digest())) for k, t in near.items()}
+    assert set(map(frozenset, got.values())) == want
+
+
+def test_long_runs_across_batches():
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 12, 900))
+    line, sketch = np.arange(900), np.full(900, 3)
+    def run(size):
+        batches = (pa.record_batch([pa.array(c[k : k + size]) for c in (key, line, sketch)], ["key", "line", "sketch"]) for k in range(0, 900, size))
+        out = pa.Table.from_batches(list(ld._pairs(75)(batches)))
+        return sorted(map(tuple, zip(*(c.to_pylist() for c in out.columns), strict=True)), key=str)
+    want = run(900)
+    assert any(r[0] is None for r in want) and any(r[0] is not None for r in want)
+    assert sum(r[0] is None for r in want) == sum(c for c in np.bincount(key) if c > 75)
+    assert all(run(size) == want for size in (1, 10, 77, 400))
+
+
+def test_clashing_columns(spark):
+    line = "a line that is long enough"
+    names = ["doc_id", "text", "dropped_lines", "lost_id", "lost_hash", "own_hash", "component", "h", "at"]
+    frame = spark.createDataFrame([(k, line, *range(7)) for k in range(2)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names[2:]))
+    out = ld.dedup_lines(frame)
+    assert out.columns == [*names, "dropped_lines_"]
+    assert sorted(map(tuple, out.collect())) == [(0, line, *range(7), None), (1, "", *range(7), [0])]

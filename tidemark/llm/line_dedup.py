@@ -10,18 +10,20 @@ segments; if two lines are within TAU edits, the shorter has a segment that the
 longer contains at a shifted place, and for each length difference the places to
 try are few (length-aware, multi-match-aware selection). Segments and substrings
 are hashed from one prefix sum over the text, so no substring is ever built. Keys
-are dealt by hash and streamed in order; pairs must also agree in a histogram of
-their characters before their texts are fetched and verified by a banded
-bit-parallel edit distance. Only verified links form components.
+are dealt by hash and streamed in order; a key's run of more than ``BLOCK`` lines
+goes on to a second exchange that deals it in pairs of blocks. Pairs must also agree
+in a histogram of their characters before their texts are fetched and verified by a
+banded bit-parallel edit distance. Only verified links form components. A line is
+known by the 128 bits of its MD5; 64-bit hashes only find candidates.
 
 Shorter lines belong together only when they are equal: within TAU edits of a short
 line lie too many lines that say something else. With ``short`` every shorter line
 that is not blank goes through the same hash collapse, without the edit join.
 
 Defined cases: null text has no lines and stays null; blank lines are never
-touched, nor are shorter lines without ``short``; a null id comes after all others; repeated rows with equal id and text
-share their decisions; an empty table gives an empty result; other columns are
-kept as they are.
+touched, nor are shorter lines without ``short``; a null id comes after all others;
+repeated rows with equal id and text share their decisions; an empty table gives an
+empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, materialise, partitions, start_task
+from tidemark.llm.common import components, forget, free_name, materialise, partitions, start_task
 
 TAU = 2
 MIN_CHARS = 20
@@ -43,6 +45,7 @@ BUCKETS = 15
 FILTER_BITS = 1 << 22
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 KEYS = "key long, line long, sketch long"
+BLOCK = 4_096  # rows of one key that meet in one task
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -153,24 +156,24 @@ def signatures(ids: np.ndarray, lines: list[str], tau: int = TAU) -> tuple[np.nd
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start_task("line_dedup")
-    seen: set[int] = set()
+    seen: set[bytes] = set()
 
     def out(ids: list[int], lines: list[str]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c) for c in signatures(np.array(ids, np.int64), lines)], ["key", "line", "sketch"])
 
     ids, lines, size = [], [], 0
     for batch in batches:
-        for i, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if i in seen:
                 continue
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen.add(i)
             text = line.as_py()
             if ids and size + len(text) > SLICE_CHARS:
                 yield out(ids, lines)
                 ids, lines, size = [], [], 0
-            ids.append(i)
+            ids.append(h)
             lines.append(text)
             size += len(text)
     if ids:
@@ -186,53 +189,115 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key. Index and probe entries of one key are compared block by block."""
-
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        pair = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    def compare(key: np.ndarray, line: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sketch = sketch.view(np.uint64)
-        probe = (sketch & np.uint64(3)) == 2
-        order = np.lexsort((sketch, line, probe, key))
-        key, line, sketch, probe = key[order], line[order], sketch[order], probe[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (sketch[1:] != sketch[:-1])
-        key, line, sketch, probe = key[fresh], line[fresh], sketch[fresh], probe[fresh]
-        # Index entries stand first in a key's run; each meets all that follow it.
-        ends = np.searchsorted(key, key, "right")
-        partners = np.where(probe, 0, ends - np.arange(len(key)) - 1)
-        rows = np.flatnonzero(partners)
-        upto = np.cumsum(partners[rows])
-        at = 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, "right")))
-            n = partners[rows[at:to]]
-            i = np.repeat(rows[at:to], n)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            near = (line[i] != line[j]) & (_distance(sketch[i], sketch[j]) <= 2 * TAU)
-            if near.any():
-                yield out(line[i[near]], line[j[near]])
-            at = to
-
-    held: list[pa.RecordBatch] = []
-    size = 0
+def compare(key: np.ndarray, line: np.ndarray, sketch: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of index and probe entries of one key; of sides 0 and 1 only those of different ones."""
+    sketch = sketch.view(np.uint64)
+    side = np.full(len(key), 2) if side is None else side
+    probe = (sketch & np.uint64(3)) == 2
+    order = np.lexsort((sketch, line, probe, key))
+    key, line, sketch, probe, side = key[order], line[order], sketch[order], probe[order], side[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (sketch[1:] != sketch[:-1])
+    key, line, sketch, probe, side = key[fresh], line[fresh], sketch[fresh], probe[fresh], side[fresh]
+    # Index entries stand first in a key's run; each meets all that follow it.
+    ends = np.searchsorted(key, key, "right")
+    partners = np.where(probe, 0, ends - np.arange(len(key)) - 1)
+    rows = np.flatnonzero(partners)
+    upto = np.cumsum(partners[rows])
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, "right")))
+        n = partners[rows[at:to]]
+        i = np.repeat(rows[at:to], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        near = (line[i] != line[j]) & ((side[i] == 2) | (side[i] != side[j]))
+        i, j = i[near], j[near]
+        near = _distance(sketch[i], sketch[j]) <= 2 * TAU
+        a, b = line[i[near]], line[j[near]]
+        if len(a):
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        at = to
+
+
+FOUND = "a long, b long, " + KEYS
+
+
+def _pairs(block: int):
+    """Rows come sorted by key. Runs of at most ``block`` rows give pairs (a, b), longer ones go out as they are."""
+    names = ["a", "b", "key", "line", "sketch"]
+
+    def long_rows(parts) -> pa.RecordBatch:
+        none = pa.nulls(len(parts[0]), pa.int64())
+        return pa.record_batch([none, none, *map(pa.array, parts)], names)
+
+    def settled(key: np.ndarray, line: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        is_long = np.searchsorted(key, key, "right") - np.searchsorted(key, key) > block
+        if is_long.any():
+            yield long_rows([c[is_long] for c in (key, line, sketch)])
+        for pairs in compare(key[~is_long], line[~is_long], sketch[~is_long]):
+            none = pa.nulls(pairs.num_rows, pa.int64())
+            yield pa.record_batch([*pairs.columns, none, none, none], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size, long_key = 0, None
+        for batch in batches:
+            parts = [c.to_numpy() for c in batch.columns]
+            if long_key is not None and batch.num_rows:
+                # The run that went out as long goes on here.
+                more = int(np.searchsorted(parts[0], long_key, "right"))
+                if more:
+                    yield long_rows([c[:more] for c in parts])
+                    parts = [c[more:] for c in parts]
+                if len(parts[0]):
+                    long_key = None
+            if not len(parts[0]):
+                continue
+            held.append(parts)
+            size += len(parts[0])
+            if size <= 200_000:
+                continue
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            yield from settled(*(c[:cut] for c in whole))
+            rest = [c[cut:] for c in whole]
+            held, size = [rest], len(rest[0])
+            if size > block:
+                yield long_rows(rest)
+                held, size, long_key = [], 0, int(rest[0][0])
+        if held:
+            yield from settled(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (key, line, sketch) dealt in pairs of blocks, as (u, line, sketch, side); two rows of a key meet under one u."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    # Written, so that the join has nothing but exchanges under it and a hot key's partition can be split.
+    sizes = materialise(sizes.withColumnRenamed("key", "k"), "line-long-keys")
+    out = rows.join(sizes, rows["key"] == sizes["k"]).withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    u = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return out.select(u.alias("u"), "line", "sketch", side.cast("long").alias("side"))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, line, sketch, side) sorted by u; a u has two blocks of rows at most, which are compared when it is complete."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(0).to_numpy()
-        cut = int(np.flatnonzero(keys == keys[-1])[0])
-        if size > 200_000 and (cut or held[-1].column(0)[-1].as_py() != int(keys[0])):
-            held.append(batch.slice(0, cut))
-            yield from compare(*(c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().columns))
-            held, size, batch = [], 0, batch.slice(cut)
-        held.append(batch)
-        size += batch.num_rows
+        held.append([c.to_numpy() for c in batch.columns])
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        if cut:
+            yield from compare(*(c[:cut] for c in whole))
+        held = [[c[cut:] for c in whole]]
     if held:
-        yield from compare(*(c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().columns))
+        yield from compare(*held[0])
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -260,22 +325,31 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """``lines``: line (hash), body. Components (node, component) of lines that have a partner within TAU edits."""
+def near_lines(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``lines``: line (identity), h (64-bit hash), body. Components (node, component) of lines that have a partner within TAU edits."""
     spark = lines.sparkSession
-    keys = lines.mapInArrow(_keys, KEYS)
+    keys = lines.select("line", "h", "body").mapInArrow(_keys, KEYS)
     keys = keys.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    pairs = materialise(keys.mapInArrow(_pairs, "a long, b long").distinct(), "line-pairs")
-    ends = materialise(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "line-ends")
+    found = materialise(keys.mapInArrow(_pairs(block), FOUND), "line-found")
+    dealt = dealt_blocks(found.filter("a is null").select("key", "line", "sketch"), block)
+    dealt = dealt.repartition(partitions(spark), "u").sortWithinPartitions("u")
+    pairs = found.filter("a is not null").select("a", "b").union(dealt.mapInArrow(_block_pairs, "a long, b long"))
+    pairs = materialise(pairs.distinct(), "line-pairs")
+    forget(found)
+    ends = materialise(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "line-ends")
     bits = np.zeros(FILTER_BITS, bool)
     # Not more rows than the table has places.
     bits[[r["b"] for r in ends.mapInArrow(_slots, "b int").distinct().toLocalIterator()]] = True
-    found = lines.mapInArrow(_wanted(bits), "line long, body string").dropDuplicates(["line"])
-    found = materialise(found.join(ends, "line", "left_semi"), "line-texts")
-    both = pairs.join(found.select(F.col("line").alias("b"), F.col("body").alias("tb")), "b")
-    both = both.join(found.select(F.col("line").alias("a"), F.col("body").alias("ta")), "a")
-    links = both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
-    return components(materialise(links, "line-links"), "line-classes")
+    texts = lines.select("h", "line", "body").mapInArrow(_wanted(bits), "h long, line binary, body string").dropDuplicates(["h", "line"])
+    texts = materialise(texts.join(ends, "h", "left_semi"), "line-texts")
+    # Different lines of one 64-bit hash are all candidates.
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"), F.col("body").alias(f"text_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    links = both.select("line_a", "line_b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary")
+    links = materialise(links, "line-links")
+    out = components(links, "line-classes")
+    forget(pairs, ends, texts, links)
+    return out
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
@@ -284,11 +358,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = Fal
     Lines of ``min_chars`` code points go through the edit join. With ``short``, equal
     lines below that which are not blank collapse too.
     """
-    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.split("text", "\n").alias("own"))
+    keyed = docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("h"), F.split("text", "\n").alias("own"))
     rows = keyed.select("id", "h", F.posexplode("own").alias("at", "body"))
     is_long = F.length("body") >= min_chars
-    rows = rows.filter(is_long | F.col("body").rlike(r"(?U)\S") if short else is_long).withColumn("line", F.xxhash64("body"))
-    classes = near_lines(rows.filter(is_long).select("line", "body"))
+    rows = rows.filter(is_long | F.col("body").rlike(r"(?U)\S") if short else is_long).withColumn("line", F.unhex(F.md5("body")))
+    classes = near_lines(rows.filter(is_long).select("line", F.xxhash64("body").alias("h"), "body"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
     uses = rows.select("id", "h", "at", "line").distinct()
     per_line = uses.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -302,24 +376,31 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = Fal
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without its dropped lines, and ``__dropped``, their numbers."""
+    """All rows and columns of ``docs``, ``text`` without its dropped lines, and last those lines' numbers (null: none).
+
+    The last column is called ``dropped_lines``, or what ``free_name`` makes of that.
+    """
     lost = dropped_lines(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_chars, short)
-    lost = lost.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("drop").alias("__dropped"))
-    own = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
-    out = own.join(lost, own["doc_id"].eqNullSafe(F.col("__id")) & (own["__th"] == F.col("__h")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__dropped"), i)), "\n")
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), "__dropped")
+    drop, i, h, own_h = (free_name(docs, c) for c in ("dropped_lines", "lost_id", "lost_hash", "own_hash"))
+    lost = lost.select(F.col("id").alias(i), F.col("h").alias(h), F.col("drop").alias(drop))
+    own = docs.withColumn(own_h, F.unhex(F.md5(F.col("text").cast("string"))))
+    out = own.join(lost, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own_h) == F.col(h)), "left")
+    # The numbers that stay, then their lines; the text is split once, into a variable of the outer function.
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop)), lambda k: F.get(lines, k))
+    text = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(kept(lines), "\n"))[0]
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(text)
+    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), drop)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_lines, n_dropped, the dropped numbers, and digests of the text that stays."""
     out = dedup_lines(docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n")), short=True)
+    drop = out.columns[-1]
     return out.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join("__dropped", ","), F.lit("")).alias("dropped"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(drop, ","), F.lit("")).alias("dropped"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"),
     )

@@ -58,21 +58,31 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight arrivals of documents become shards of about 64 MB; each row tells where it lies."""
+def _sharded(spark: SparkSession, sf_dir: str) -> sharding.ShardStore:
     store = sharding.ShardStore(spark, new_path(spark, "shards"))
-    docs = table(spark, sf_dir, "documents")
-    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(8))), arrival="arrival")
+    store.append(table(spark, sf_dir, "documents"), arrival=F.pmod(F.xxhash64("doc_id"), F.lit(8)))
     store.compact()
     store.vacuum()
+    return store
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight arrivals of documents become shards of about 64 MB; each row tells where it lies."""
+    store = _sharded(spark, sf_dir)
     shards = store.read()
-    name = F.regexp_extract("shard", r"([^/]+)$", 1)
+    name, size = shards.columns[-2:]
     return shards.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.crc32("text").alias("text_crc32"),
-        name.alias("shard"), "shard_bytes", F.lit(store.version()).cast("long").alias("version"),
+        F.regexp_extract(name, r"([^/]+)$", 1).alias("shard"), F.col(size).alias("shard_bytes"), F.lit(store.version()).cast("long").alias("version"),
     )
 
 
+def sharding_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's operator again: what the compacted store holds, which is what arrived."""
+    rows = _sharded(spark, sf_dir).read()
+    return rows.select("doc_id", "lang", "source", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"))
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3's operator again: which benchmark items occur exactly, and which only nearly."""
     return decontaminate.proximity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,7 +90,7 @@ def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
-    return out | {"benchmark_proximity": benchmark_proximity}
+    return out | {"benchmark_proximity": benchmark_proximity, "sharding_contents": sharding_contents}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -166,4 +176,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard_join": _OP4,
         "op5_chat_formatting": _OP5,
         "op7_exact_dedup": _OP7,
+        "sharding_contents": "SELECT doc_id, lang, source, length(text) AS text_chars, md5(text) AS text_md5 FROM documents",
     }
