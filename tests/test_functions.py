@@ -98,8 +98,8 @@ def test_liberal_date(spark, given_, want):
     ("/2010/05/17/x.html", date(2010, 5, 17)), ("/20100517/x", date(2010, 5, 17)), ("/17-may-2010.html", date(2010, 5, 17)),
     ("/05/17/2010", date(2010, 5, 17)), ("/2010/02/31/", None), ("/2010/05/", None), ("/1980/05/17/", None), ("/3/2010/5", date(2010, 5, 5)),
 ])
-def test_url_date(path, want):
-    assert dates.url_date(f"http://2001.12.e.org{path}?d=2003-01-01", date(2015, 1, 1)) == want
+def test_url_date(spark, path, want):
+    assert one(spark, dates.url_date(F.lit(f"http://2001.12.e.org{path}?d=2003-01-01"), "2015-01-01")) == want
 
 
 def test_date_helpers(spark):

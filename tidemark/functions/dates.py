@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FIRST = "1990-01-01"
 # Month names of three languages, as (name, number).
@@ -63,65 +60,74 @@ def url_date_fast(url: Column) -> Column:
     return F.try_make_timestamp(part(1), part(2), part(3), F.lit(0), F.lit(0), F.lit(0.0)).cast("date")
 
 
-class _UrlDate:
-    """Year, month and day as the segments of a path settle them, one by one."""
-
-    def __init__(self, last_year: int):
-        self.year = self.month = self.day = 0
-        self.last_year = last_year
-        self.free_day = self.free_month = False
-
-    def number(self, text: str) -> None:
-        n = int(text)
-        if len(text) == 8:
-            if not self.year and n // 10_000 >= 1990:
-                self.year, self.month, self.day = n // 10_000, n // 100 % 100, n % 100
-        elif len(text) == 4:
-            if 1990 <= n <= self.last_year:
-                self.year = n
-        elif len(text) <= 2 and n > 0:
-            if 12 < n <= 31 and not self.day:
-                self.day = n
-            else:
-                self.small(n)
-
-    def small(self, n: int) -> None:
-        if not self.month:
-            self.month, self.free_month = n, not self.year
-        elif self.free_month:
-            self.month = self.day = n
-            self.free_day, self.free_month = True, False
-        elif not self.day or self.free_day:
-            self.day, self.free_day = n, n == self.month
-
-
-def url_date(url: str | None, as_of: date) -> date | None:
-    """Date from the path of one URL; null if it is incomplete or impossible."""
-    if not url or "://" not in url:
-        return None
-    path = "/" + url.split("://", 1)[1].partition("/")[2].partition("#")[0].partition("?")[0]
-    state = _UrlDate(as_of.year)
-    for char in "-_.":
-        path = path.replace(char, "/")
-    for segment in filter(None, path.split("/")):
-        if segment.isascii() and segment.isdigit():
-            state.number(segment)
-        elif not state.month and segment.lower() in ENGLISH:
-            state.month = ENGLISH[segment.lower()]
-    try:
-        return date(state.year, state.month, state.day)
-    except ValueError:
-        return None
-
-
-def url_date_udf(as_of: str):
-    last = date.fromisoformat(as_of)
-
-    @F.pandas_udf(T.DateType())
-    def run(url: pd.Series) -> pd.Series:
-        return pd.Series([url_date(u, last) for u in url], dtype=object)
-
-    return run
+def _first(items: Column) -> Column:
+    return F.get(items, 0)
+
+
+def url_date(url: Column, as_of: str) -> Column:
+    """Date that the segments of a URL's path spell, or null if it is incomplete or impossible.
+
+    Segments are sorted by kind first: years (four digits, 1990 to the year of ``as_of``), compact
+    dates (eight digits), numbers (one or two digits) and names of English months. A compact date
+    with no year before it is the date; later years replace its year. Otherwise the last year
+    counts; the month is the first name or number, whichever comes first, where the first
+    number from 13 to 31 is left for the day; and the day is the first other number that differs
+    from the month. A month that is a number and stands before every year is doubtful: the next such
+    number replaces it, and is the day too if none follows. Numbers on both sides of a compact
+    date do the same to it.
+    """
+    path = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*(/[^?#]*)", 1)
+    words = F.filter(F.split(path, r"[-_./]+"), lambda s: s != "")
+    names = F.create_map(*[F.lit(x) for k, v in ENGLISH.items() for x in (k, v)])
+
+    def sort(s: Column, at: Column) -> Column:
+        digits = F.when(s.rlike("^[0-9]{1,8}$"), F.length(s)).otherwise(0)
+        n = s.try_cast("int")
+        kind = (
+            F.when((digits == 4) & n.between(int(FIRST[:4]), int(as_of[:4])), "year")
+            .when((digits == 8) & (n >= int(FIRST[:4]) * 10_000), "compact")
+            .when(digits.between(1, 2) & (n > 0), "number")
+            .when(digits == 0, "name")
+        )
+        return F.struct(at.alias("at"), kind.alias("kind"), F.when(digits == 0, F.try_element_at(names, F.lower(s))).otherwise(n).alias("n"))
+
+    def settle(parts: Column) -> Column:
+        of = lambda kind: F.filter(parts, lambda x: (x["kind"] == kind) & x["n"].isNotNull())
+        day_like = lambda numbers: F.coalesce(_first(F.filter(numbers, lambda x: x["n"].between(13, 31)))["at"], F.lit(-1))
+
+        def choose(p: Column) -> Column:
+            numbers, year_at, compact, name, big = p["numbers"], p["year_at"], p["compact"], p["name"], p["big"]
+            start = _first(F.filter(numbers, lambda x: x["at"] != big))
+            named = name.isNotNull() & (start.isNull() | (name["at"] < start["at"]))
+            known = F.least(year_at, compact["at"])
+            doubtful = ~named & start.isNotNull() & (known.isNull() | (start["at"] < known))
+            next_ = F.when(doubtful, _first(F.filter(numbers, lambda x: (x["at"] > start["at"]) & (x["at"] != big))))
+            after = F.when(doubtful & (start["at"] < compact["at"]) & (next_.isNull() | (next_["at"] > compact["at"])), _first(F.filter(numbers, lambda x: x["at"] > compact["at"])))
+            swap = F.when(compact.isNull(), next_).otherwise(after)
+            month = F.coalesce(swap["n"], F.when(compact.isNotNull(), (compact["n"] / 100).cast("int") % 100), F.when(named, name["n"]), start["n"])
+            used = F.coalesce(swap["at"], F.when(named, -1), start["at"])
+            others = F.filter(numbers, lambda x: F.when(swap.isNotNull(), x["at"] > swap["at"]).otherwise(x["at"] != used))
+            return F.struct(month.alias("month"), others.alias("others"), swap["n"].alias("swap"), compact["n"].alias("compact"), p["year"].alias("year"))
+
+        def spell(p: Column) -> Column:
+            other = F.coalesce(_first(F.filter(p["others"], lambda x: x["n"] != p["month"]))["n"], p["swap"], _first(p["others"])["n"])
+            day = F.when(p["compact"].isNotNull() & p["swap"].isNull(), p["compact"] % 100).otherwise(other)
+            year = F.coalesce(p["year"], (p["compact"] / 10_000).cast("int"))
+            return F.try_make_timestamp(year, p["month"], day, F.lit(0), F.lit(0), F.lit(0.0)).cast("date")
+
+        def gather(lists: Column) -> Column:
+            first_year = _first(lists["years"])["at"]
+            compact = _first(lists["compacts"])
+            return F.struct(
+                lists["numbers"].alias("numbers"), first_year.alias("year_at"), F.try_element_at(lists["years"], F.lit(-1))["n"].alias("year"),
+                F.when(first_year.isNull() | (compact["at"] < first_year), compact).alias("compact"), _first(lists["names"]).alias("name"),
+                day_like(lists["numbers"]).alias("big"),
+            )
+
+        lists = F.struct(of("year").alias("years"), of("compact").alias("compacts"), of("number").alias("numbers"), of("name").alias("names"))
+        return once(once(once(lists, gather), choose), spell)
+
+    return once(F.transform(words, sort), settle)
 
 
 def _month(text: Column) -> Column:
@@ -218,7 +224,3 @@ def parse_cdx(text: Column) -> Column:
 
 def format_cdx(when: Column) -> Column:
     return F.date_format(when, "yyyyMMddHHmmss")
-
-
-def as_datetime(text: str) -> datetime:
-    return datetime.fromisoformat(text)

@@ -42,7 +42,7 @@ def page_dates(parsed: DataFrame, as_of: str) -> DataFrame:
     )
     none = F.lit(None).cast("timestamp")
     # Steps of their own keep the candidates from being worked out once for every use.
-    parsed = parsed.withColumn("__url", dates.url_date_udf(as_of)("url").cast("timestamp")).withColumn("__content", content)
+    parsed = parsed.withColumn("__url", dates.url_date(F.col("url"), as_of).cast("timestamp")).withColumn("__content", content)
     return parsed.withColumn("date", dates.modified_date(F.col("__url"), F.col("__content"), none, as_of)).drop("__url", "__content")
 
 

@@ -137,7 +137,7 @@ def url_date_extract(spark, d):
 @query()
 def url_date_full(spark, d):
     link = F.concat(F.lit("http://e.org/a-"), 1985 + F.col("page_id") % 45, F.lit("_"), F.element_at(F.array(*map(F.lit, dates.ENGLISH)), (F.col("page_id") % 12 + 1).cast("int")), F.lit("."), 1 + F.col("page_id") % 32)
-    return t(spark, d, "pages").select("page_id", dates.url_date_udf(AS_OF)(link).alias("day"))
+    return t(spark, d, "pages").select("page_id", dates.url_date(link, AS_OF).alias("day"))
 
 
 @query("""WITH v AS (SELECT p_partkey, lower(p_name) AS k FROM part)
