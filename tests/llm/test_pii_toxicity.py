@@ -263,3 +263,19 @@ def test_sample_is_bounded(spark):
     rows, labels = marked(spark, 10)
     model, _, _ = toxicity.train(docs(spark, rows), labels, max_examples=200)
     assert 50 <= model.index.size.sum() <= 260
+
+
+def test_sanitise_documents(spark):
+    """Every row's text is what its spans say, whatever else the row holds."""
+    rows = [(k, f"Zorblax writes to zor@lax.org and calls +49 170 1234567 as number {k % 2}") for k in range(5)]
+    rows += [(100 + k, "writes to all and calls as number one") for k in range(60)] + [(None, None), (7, ""), (8, "ip 10.0.0.1 only"), (8, "ip 10.0.0.1 only")]
+    frame = spark.createDataFrame([(i, t, "a", "b", i) for i, t in rows], "doc_id long, text string, own_hash string, clean_text string, h long")
+    out = pii.sanitise_documents(frame)
+    assert out.columns == frame.columns
+    spans = {r.doc_id: [s.asDict() for s in r.spans] for r in pii.find_personal_data(frame).collect()}
+    want = sorted((i is None, i or 0, pii.sanitise(t, spans[i]) or "") for i, t in rows)
+    got = out.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == want
+    assert all(r.own_hash == "a" and r.h == r.doc_id for r in got)
+    assert not any("zor@" in (r.text or "") or "Zorblax" in (r.text or "") for r in got)
+    assert {r.text for r in got if r.doc_id == 8} == {"ip [IP] only"}

@@ -23,7 +23,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import free_name, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]")
@@ -171,8 +170,8 @@ def _lower_share(z: float) -> F.Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95, z: float = 1.645) -> DataFrame:
-    """One row per document row: doc_id, spans (kind, start, end, action), base and added together."""
+def _judged(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95, z: float = 1.645) -> DataFrame:
+    """One row per document row: doc_id, base spans, the text if it holds any, and its disclosing terms with their action."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = f"row long, doc_id long, spans array<{SPAN}>, terms array<string>, held string"
     scan = materialise(texts.mapInArrow(_scan, schema), "personal-data")
@@ -198,8 +197,31 @@ def find_personal_data(docs: DataFrame, alpha: float = 0.8, remove: float = 0.95
     added = pairs.select("row", "value", "term").join(told, ["value", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     added = added.groupBy("row").agg(F.collect_list(F.struct("term", action.alias("action"))).cast(ADDED).alias("more"))
-    out = scan.select("row", "doc_id", "spans", "held").join(added, "row", "left").select("doc_id", "spans", "held", "more")
-    return out.mapInArrow(_merge, f"doc_id long, spans {FOUND}")
+    return scan.select("row", "doc_id", "spans", "held").join(added, "row", "left").select("doc_id", "spans", "held", "more")
+
+
+def find_personal_data(docs: DataFrame, **options) -> DataFrame:
+    """One row per document row: doc_id, spans (kind, start, end, action), base and added together."""
+    return _judged(docs, **options).mapInArrow(_merge, f"doc_id long, spans {FOUND}")
+
+
+def sanitise_documents(docs: DataFrame, **options) -> DataFrame:
+    """All rows and columns of ``docs``, ``text`` with its personal data and disclosing terms removed or generalised.
+
+    Spans depend on a row's text alone (and on the corpus), so texts meet their clean form by MD5.
+    """
+    texts = _judged(docs, **options).filter("held is not null").withColumn("doc_id", F.md5("held")).dropDuplicates(["doc_id"])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(_merge(iter([batch]))).column(1).to_pylist()
+            done = [sanitise(t, s) for t, s in zip(batch.column("held").to_pylist(), found, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(done, pa.string())], ["h", "clean"])
+
+    h, done, own = (free_name(docs, c) for c in ("found_hash", "clean_text", "own_hash"))
+    cleaned = texts.mapInArrow(clean, "h string, clean string").select(F.col("h").alias(h), F.col("clean").alias(done))
+    out = docs.withColumn(own, F.md5(F.col("text").cast("string"))).join(cleaned, F.col(own) == F.col(h), "left")
+    return out.select(*(F.coalesce(done, "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def span_text(spans) -> F.Column:
@@ -225,7 +247,3 @@ def sanitise(text: str | None, spans: list) -> str | None:
         out += [text[at : s["start"]], "[REMOVED]" if s["kind"] == "term" and s["action"] == "remove" else f"[{s['kind'].upper()}]"]
         at = s["end"]
     return "".join([*out, text[at:]])
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -83,6 +83,12 @@ def sharding_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"))
 
 
+def sanitised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator again: the documents that are left when what was found is removed or generalised."""
+    clean = pii.sanitise_documents(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", F.length("text").cast("long").alias("clean_chars"), F.sha2("text", 256).alias("clean_sha256"))
+
+
 def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3's operator again: which benchmark items occur exactly, and which only nearly."""
     return decontaminate.proximity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -90,7 +96,7 @@ def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
-    return out | {"benchmark_proximity": benchmark_proximity, "sharding_contents": sharding_contents}
+    return out | {"benchmark_proximity": benchmark_proximity, "sharding_contents": sharding_contents, "sanitised_documents": sanitised_documents}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
