@@ -98,11 +98,11 @@ def shared(rows, size):
 def test_shared_runs_across_batches():
     # (shingle, group, position << 32 | size), sorted by shingle, position and group.
     rows = [(1, 5, 10), (1, 5, 10), (1, 6, 10), (2, 7, 3), (3, 2, 9), (3, 1, 1 << 32 | 9), (3, 4, 1 << 32 | 9)]
-    rows += [(4, v, 20) for v in range(jj.FEW)] + [(5, v, 20) for v in range(jj.FEW + 1)] + [(6, v, 20) for v in range(3 * jj.FEW)] + [(7, 1, 5)]
+    rows += [(4, v, 20) for v in range(jj.FEW)] + [(5, v, 2 << 32 | 20) for v in range(jj.FEW + 1)] + [(6, v, 20) for v in range(3 * jj.FEW)] + [(7, 1, 5)]
     want = sorted(
         [(5, 6, jj.STAR), (2, 1, jj.STAR), (2, 4, jj.STAR), (1, 4, jj.PAIR)]
         + [(a, b, jj.STAR if a == 0 else jj.PAIR) for a in range(jj.FEW) for b in range(a + 1, jj.FEW)]
-        + [(5, v, 20) for v in range(jj.FEW + 1)] + [(0, v, jj.STAR) for v in range(1, jj.FEW + 1)]
+        + [(5, v, 2 << 32 | 20) for v in range(jj.FEW + 1)] + [(0, v, jj.STAR) for v in range(1, jj.FEW + 1)]
         + [(6, v, 20) for v in range(3 * jj.FEW)] + [(0, v, jj.STAR) for v in range(1, 3 * jj.FEW)]
     )
     assert shared(rows, 1_000) == want
@@ -173,6 +173,7 @@ def test_blocks_meet_exactly_once(spark, monkeypatch):
                 met[key] = met.get(key, 0) + 1
     want = {(x.k, bytes(x.cls), bytes(y.cls)) for x in frame.collect() for y in frame.collect() if x.k == y.k and bytes(x.cls) < bytes(y.cls) and x.component != y.component}
     assert set(met) == want and set(met.values()) == {1}
+    assert len({(r.u, r.deal) for r in dealt}) == len({r.u for r in dealt})
     per = {}
     for r in dealt:
         per[r.u] = per.get(r.u, 0) + 1

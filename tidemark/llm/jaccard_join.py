@@ -58,6 +58,7 @@ SKETCH_BYTES = 16 << 20  # compared at once
 BLOCK = 4_096  # rows of a list that meet in one task
 CENTRES = 3
 FEW = 16  # groups of a list that is turned into pairs at once
+NEAR = 256  # rows of a list that is dealt by its least class, so that lists of the same classes meet
 PRODUCT = 64  # classes times classes of a pair of groups that is expanded by a join
 PAIR, STAR, SPREAD = -4, -2, -10  # marks of pairs of groups, of those with a centre, and of heavy entries
 _MULT = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -402,18 +403,18 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Tab
 def dealt_blocks(own: DataFrame) -> DataFrame:
     """Deal lists (k, component, cls, ...) in pairs of blocks of about BLOCK rows; lists of one component go.
 
-    Adds ``u``, the key to deal by, and ``side``: rows of sides 0 and 1 of one ``u`` meet,
-    and rows of side 2 meet each other. Two rows of one k in different components meet under
+    Adds ``u``, whose rows have to come together, ``deal``, the key to deal by, and ``side``:
+    rows of sides 0 and 1 of one ``u`` meet, and rows of side 2 meet each other. Two rows of one k in different components meet under
     exactly one u. The component with most rows of a list has blocks of its own, which do not
     meet each other; a list of one block is its own pair.
     """
-    sizes = own.groupBy("k", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    sizes = own.groupBy("k", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("cls").alias("cls"))
     lists = sizes.groupBy("k").agg(
-        F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("many"), F.min("n").alias("least")
+        F.min("cls").alias("low"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("many"), F.min("n").alias("least")
     ).filter("many > 1")
     blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
     lists = lists.select(
-        F.col("k").alias("lk"), "least", F.col("top.component").alias("top"),
+        F.col("k").alias("lk"), "least", F.col("top.component").alias("top"), F.when(F.col("all") <= NEAR, F.xxhash64("low")).alias("deal"),
         F.when(F.col("all") <= BLOCK, 0).otherwise(blocks(F.col("top.c"))).alias("bt"),
         F.when(F.col("all") <= BLOCK, 1).otherwise(blocks(F.col("all") - F.col("top.c"))).alias("br"),
     )
@@ -427,16 +428,19 @@ def dealt_blocks(own: DataFrame) -> DataFrame:
     others = F.when(is_top, F.sequence("bt", F.col("bt") + F.col("br") - 1)).otherwise(F.sequence(F.lit(0), F.col("bt") + F.col("br") - 1))
     rows = rows.withColumn("other", F.explode(others))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return rows.withColumns({"u": F.xxhash64("k", F.least("block", "other"), F.greatest("block", "other")), "side": side}).drop("lk", "least", "top", "bt", "br", "block", "other")
+    return rows.withColumns({"u": F.xxhash64("k", F.least("block", "other"), F.greatest("block", "other")), "side": side}).withColumn("deal", F.coalesce("deal", "u")).drop("lk", "least", "top", "bt", "br", "block", "other")
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (u, side, n, p, component, cls, sketch) sorted by u: pairs that meet, of different components, that may be similar."""
 
+    told: set[tuple[int, int]] = set()  # hashes of pairs that went out; a pair may go out again
+
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         u, side, n, p = (table.column(c).to_numpy() for c in range(4))
         component = table.column(4).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
         cls = table.column(5).combine_chunks()
+        code = np.frombuffer(b"".join(cls.to_pylist()), ">i8")[::2].astype(np.int64)  # half of a class, for telling pairs apart
         sketches = Sketches(table.column(6).to_pylist(), n)
         order = np.lexsort((component, u))
         u, component = u[order], component[order]
@@ -458,8 +462,16 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = i[ok], j[ok]
             ok = sketches.may_be_similar(i, sketches, j)
             i, j = i[ok], j[ok]
-            if len(i):
-                yield pa.record_batch([cls.take(pa.array(i)), cls.take(pa.array(j))], ["a", "b"])
+            # Pairs that several lists gave go out once.
+            low, high = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+            pair, own = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+            if len(told) > 500_000:
+                told.clear()
+            new = [x not in told for x in map(tuple, pair.tolist())]
+            told.update(map(tuple, pair.tolist()))
+            own = own[np.array(new, bool)]
+            if len(own):
+                yield pa.record_batch([cls.take(pa.array(i[own])), cls.take(pa.array(j[own]))], ["a", "b"])
             at = to
 
     start_task("jaccard_join")
@@ -553,8 +565,8 @@ def link_classes(texts: DataFrame, profile: DataFrame, hot: np.ndarray, hits: np
     wide = groups.filter(crowded).select(F.xxhash64("ga", "gb").alias("k"), F.explode(F.array("ga", "gb")).alias("g"))
     lists = lists.union(own).union(wide.select(*free(F.col("k"), F.col("g"))))
     lists = materialise(lists.join(placed, "g").select("k", "n", "p", "cls", "component"), "lists")
-    dealt = dealt_blocks(lists).drop("n").join(rep.select("cls", "n", "sketch"), "cls").select("u", "side", "n", "p", "component", "cls", "sketch")
-    dealt = dealt.repartition(partitions(spark), "u").sortWithinPartitions("u")
+    dealt = dealt_blocks(lists).drop("n").join(rep.select("cls", "n", "sketch"), "cls").select("deal", "u", "side", "n", "p", "component", "cls", "sketch")
+    dealt = dealt.repartition(partitions(spark), "deal").drop("deal").sortWithinPartitions("u")
     pair = few.union(dealt.mapInArrow(_cross, "a binary, b binary")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     checked = one.union(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(pair.distinct().join(checked, ["a", "b"], "left_anti"), "cross-pairs")
@@ -575,13 +587,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot, hits = table["hot"].to_numpy(np.int64).view(np.uint64), table["hits"].to_numpy(np.int64)
     order = np.argsort(hot)
     linked = link_classes(texts, profile, hot[order], hits[order])
-    keyed = profile.join(linked, profile["cls"] == linked["node"], "left")
-    keyed = keyed.select("doc_id", "n", F.coalesce("component", "cls").alias("key"))
-    least = keyed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
-    out = keyed.join(least, "key", "left")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    own = profile.filter("n > 0")
+    classes = own.groupBy("cls").agg(F.min("doc_id").alias("low")).join(linked, F.col("cls") == F.col("node"), "left")
+    classes = materialise(classes.select("cls", "low", F.coalesce("component", "cls").alias("key")), "class-components")
+    least = classes.groupBy("key").agg(F.min("low").alias("component_id"))
+    # Written, so that the join has nothing but exchanges under it and a hot class's partition can be split.
+    told = materialise(classes.join(least, "key").select("cls", "component_id"), "class-ids")
+    forget(classes)
+    out = own.join(told, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.union(profile.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
