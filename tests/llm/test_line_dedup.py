@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -141,13 +142,12 @@ def test_lines_of_one_hot_key(spark, block):
     for k in range(0, 600, 40):
         near[k] = lines[k][:-2] + "zz"
     every = lines + list(near.values())
-    frame = spark.createDataFrame([(hashlib.md5(t.encode()).digest(), t) for t in every], "line binary, body string")
-    frame = frame.selectExpr("line", "xxhash64(body) AS h", "body").repartition(3)
+    frame = spark.createDataFrame([(t,) for t in every], "body string").select(ld.name_of("body").alias("line"), F.xxhash64("body").alias("h"), "body").repartition(3)
+    text = {r.line: r.body for r in frame.collect()}
     got = {}
     for r in ld.near_lines(frame, block).collect():
-        got.setdefault(bytes(r.component), set()).add(bytes(r.node))
-    want = {frozenset((hashlib.md5(lines[k].encode()).digest(), hashlib.md5(t.encode()).digest())) for k, t in near.items()}
-    assert set(map(frozenset, got.values())) == want
+        got.setdefault(r.component, set()).add(text[r.node])
+    assert set(map(frozenset, got.values())) == {frozenset((lines[k], t)) for k, t in near.items()}
 
 
 def test_long_runs_across_batches():

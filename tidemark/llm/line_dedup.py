@@ -13,8 +13,8 @@ are hashed from one prefix sum over the text, so no substring is ever built. Key
 are dealt by hash and streamed in order; a key's run of more than ``BLOCK`` lines
 goes on to a second exchange that deals it in pairs of blocks. Pairs must also agree
 in a histogram of their characters before their texts are fetched and verified by a
-banded bit-parallel edit distance. Only verified links form components. A line is
-known by the 128 bits of its MD5; 64-bit hashes only find candidates.
+banded bit-parallel edit distance. Only verified links form components. Lines and
+texts are known by 128 bits of two hashes; one of them alone only finds candidates.
 
 Shorter lines belong together only when they are equal: within TAU edits of a short
 line lie too many lines that say something else. With ``short`` every shorter line
@@ -33,7 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, forget, free_name, materialise, partitions, start_task
@@ -45,6 +45,7 @@ BUCKETS = 15
 FILTER_BITS = 1 << 22
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 KEYS = "key long, line long, sketch long"
+NAME = "struct<h1:long,h2:long>"
 BLOCK = 4_096  # rows of one key that meet in one task
 
 
@@ -156,19 +157,20 @@ def signatures(ids: np.ndarray, lines: list[str], tau: int = TAU) -> tuple[np.nd
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start_task("line_dedup")
-    seen: set[bytes] = set()
+    seen: set[tuple[int, int]] = set()
 
     def out(ids: list[int], lines: list[str]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c) for c in signatures(np.array(ids, np.int64), lines)], ["key", "line", "sketch"])
 
     ids, lines, size = [], [], 0
     for batch in batches:
-        for i, h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if i in seen:
+        h2 = batch.column(0).field("h2").to_pylist()
+        for i, h, line in zip(h2, batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (h, i) in seen:
                 continue
             if len(seen) > 100_000:
                 seen.clear()
-            seen.add(i)
+            seen.add((h, i))
             text = line.as_py()
             if ids and size + len(text) > SLICE_CHARS:
                 yield out(ids, lines)
@@ -340,31 +342,37 @@ def near_lines(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     bits = np.zeros(FILTER_BITS, bool)
     # Not more rows than the table has places.
     bits[[r["b"] for r in ends.mapInArrow(_slots, "b int").distinct().toLocalIterator()]] = True
-    texts = lines.select("h", "line", "body").mapInArrow(_wanted(bits), "h long, line binary, body string").dropDuplicates(["h", "line"])
+    texts = lines.select("h", "line", "body").mapInArrow(_wanted(bits), f"h long, line {NAME}, body string").dropDuplicates(["h", "line"])
     texts = materialise(texts.join(ends, "h", "left_semi"), "line-texts")
     # Different lines of one 64-bit hash are all candidates.
     side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"), F.col("body").alias(f"text_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    links = both.select("line_a", "line_b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary")
+    links = both.select("line_a", "line_b", "text_a", "text_b").mapInArrow(_verified, f"a {NAME}, b {NAME}")
     links = materialise(links, "line-links")
     out = components(links, "line-classes")
     forget(pairs, ends, texts, links)
     return out
 
 
+def name_of(text: Column | str) -> Column:
+    """128 bits of a text: two hashes from different starts (null: null)."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """For each (id, text hash) that loses lines: their numbers from 0, as ``drop``.
 
     Lines of ``min_chars`` code points go through the edit join. With ``short``, equal
     lines below that which are not blank collapse too.
     """
-    keyed = docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("h"), F.split("text", "\n").alias("own"))
+    keyed = docs.select(F.col("doc_id").alias("id"), name_of("text").alias("h"), F.split("text", "\n").alias("own"))
     rows = keyed.select("id", "h", F.posexplode("own").alias("at", "body"))
     is_long = F.length("body") >= min_chars
-    rows = rows.filter(is_long | F.col("body").rlike(r"(?U)\S") if short else is_long).withColumn("line", F.unhex(F.md5("body")))
-    classes = near_lines(rows.filter(is_long).select("line", F.xxhash64("body").alias("h"), "body"))
+    rows = rows.filter(is_long | F.col("body").rlike(r"(?U)\S") if short else is_long).withColumn("line", name_of("body"))
+    classes = near_lines(rows.filter(is_long).select("line", F.col("line.h1").alias("h"), "body"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
-    uses = rows.select("id", "h", "at", "line").distinct()
+    uses = materialise(rows.select("id", "h", "at", "line").distinct(), "line-uses")
     per_line = uses.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     per_line = per_line.join(classes, per_line["line"] == classes["node"], "left")
     per_line = per_line.select("line", "first", "n", F.coalesce("component", "line").alias("component"))
@@ -383,7 +391,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False
     lost = dropped_lines(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), min_chars, short)
     drop, i, h, own_h = (free_name(docs, c) for c in ("dropped_lines", "lost_id", "lost_hash", "own_hash"))
     lost = lost.select(F.col("id").alias(i), F.col("h").alias(h), F.col("drop").alias(drop))
-    own = docs.withColumn(own_h, F.unhex(F.md5(F.col("text").cast("string"))))
+    own = docs.withColumn(own_h, name_of(F.col("text").cast("string")))
     out = own.join(lost, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own_h) == F.col(h)), "left")
     # The numbers that stay, then their lines; the text is split once, into a variable of the outer function.
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop)), lambda k: F.get(lines, k))
