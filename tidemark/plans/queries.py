@@ -134,10 +134,11 @@ def url_date_extract(spark, d):
     return t(spark, d, "pages").select("page_id", dates.url_date_fast(link).cast("string").alias("day"))
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN 1985 + page_id % 45 BETWEEN 1990 AND 2025 THEN
+ try_cast((1985 + page_id % 45) || '-' || lpad((page_id % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((1 + page_id % 32)::VARCHAR, 2, '0') AS DATE) END::VARCHAR AS day FROM pages""")
 def url_date_full(spark, d):
     link = F.concat(F.lit("http://e.org/a-"), 1985 + F.col("page_id") % 45, F.lit("_"), F.element_at(F.array(*map(F.lit, dates.ENGLISH)), (F.col("page_id") % 12 + 1).cast("int")), F.lit("."), 1 + F.col("page_id") % 32)
-    return t(spark, d, "pages").select("page_id", dates.url_date(link, AS_OF).alias("day"))
+    return t(spark, d, "pages").select("page_id", dates.url_date(link, AS_OF).cast("string").alias("day"))
 
 
 @query("""WITH v AS (SELECT p_partkey, lower(p_name) AS k FROM part)
@@ -148,9 +149,10 @@ def keyword_variants(spark, d):
     return t(spark, d, "part").select("p_partkey", urls.keyword_variants(F.col("p_name")).alias("pattern"))
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, 'th.?er|and') AND NOT regexp_matches(url, '^https?://[a-z0-9.-]*?\\.de/')")
+@query("SELECT DISTINCT url FROM pages WHERE regexp_matches(page_id::VARCHAR || ' ' || url, 'th.?er|and') AND NOT regexp_matches(url, '\\s|^https?://[a-z0-9.-]*?\\.de/')")
 def seed_grep(spark, d):
-    return t(spark, d, "pages").select("page_id", "url").filter(F.col("url").rlike("th.?er|and") & ~urls.allowed_seed(F.col("url")))
+    lines = t(spark, d, "pages").filter("url NOT RLIKE '\\\\s'").select(F.concat(F.col("page_id").cast("string"), F.lit(" "), "url").alias("value"))
+    return tables.grep_lines(lines, "th.?er|and").filter(~urls.allowed_seed(F.col("url")))
 
 
 # -- dates --------------------------------------------------------------------------------
@@ -188,12 +190,30 @@ def date_cascade(spark, d):
     return e.select("event_id", F.unix_micros(got["when"]).alias("found"), got["source"].alias("source"))
 
 
-@query("""WITH c AS (SELECT user_id, date_trunc('hour', ts) AS h, ts, event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS k FROM events)
-SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k, ts DESC, event_id) AS n FROM c) WHERE n = 1""")
+@query("""SELECT event_id, coalesce(epoch_us(CASE WHEN event_id % 3 = 0 THEN ts WHEN event_id % 2 = 0 THEN date_trunc('day', ts) WHEN event_id % 5 <> 0 THEN ts + INTERVAL 1 DAY END), 0) AS found,
+ CASE WHEN event_id % 3 = 0 OR event_id % 2 = 0 THEN 'META' WHEN event_id % 5 <> 0 THEN 'TEXT_DATE' ELSE 'NOT_FOUND' END AS source FROM events""")
 def date_best_candidate(spark, d):
-    e = t(spark, d, "events")
-    k = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2).otherwise(3)
-    return e.groupBy("user_id").agg(F.min_by("event_id", F.struct(k, -F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"))).alias("event_id"))
+    """A date in the text, a bare day and a time in the head, as they are there: source first, then a time of day, then the latest."""
+    ts = F.col("ts").cast("timestamp")
+    made = lambda there, when, source: F.struct(F.when(there, when).alias("when"), F.lit(source).alias("source"))
+    third = F.col("event_id") % 3 == 0
+    best = dates.best_date(F.array(
+        made(F.col("event_id") % 5 != 0, ts, "TEXT_DATE"), made(F.col("event_id") % 5 != 0, ts + F.expr("interval 1 day"), "TEXT_DATE"),
+        made(F.col("event_id") % 2 == 0, F.date_trunc("day", ts), "META"), made(third, ts, "META"),
+    ))
+    # At midnight the bare day and the time are one.
+    return t(spark, d, "events").select("event_id", F.coalesce(F.unix_micros(best["when"]), F.lit(0)).alias("found"), best["source"].alias("source"))
+
+
+@query("""SELECT event_id, epoch_us(CASE WHEN year(ts) > 1990 THEN date_trunc('second', ts) - CASE WHEN event_id % 3 = 1 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END
+ - CASE WHEN event_id % 3 = 2 THEN ts - date_trunc('day', ts) - (ts - date_trunc('second', ts)) ELSE INTERVAL 0 HOUR END END) AS found FROM events""")
+def date_liberal(spark, d):
+    """Timestamps with a T, with an offset, and days alone, as pages and headers have them."""
+    ts = F.col("ts").cast("timestamp")
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format(ts, "yyyy-M-d'T'H:m:s")).when(
+        F.col("event_id") % 3 == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    ).otherwise(F.date_format(ts, "dd.MM.yyyy"))
+    return t(spark, d, "events").select("event_id", F.unix_micros(dates.liberal_date(text, AS_OF)).alias("found"))
 
 
 # -- HTML and text ------------------------------------------------------------------------
@@ -484,10 +504,26 @@ def weighted_sample(spark, d):
     return frontier.pop(e, 100, seed=11)
 
 
-@query("SELECT url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 2 = 0)")
+@query("""SELECT url, min(length(path))::INTEGER AS steps FROM (SELECT url, repeat('L', (page_id % 4)::INTEGER) AS path FROM pages p
+ WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 2 = 0)) GROUP BY 1""")
 def seen_anti_join(spark, d):
     p = t(spark, d, "pages")
-    return p.select("url").join(p.filter("page_id % 2 = 0").select("url"), "url", "left_anti")
+    new = p.select("url", F.expr("repeat('L', int(page_id % 4))").alias("path"), F.lit(None).cast("string").alias("referrer"))
+    return frontier.unseen(new, p.filter("page_id % 2 = 0")).select("url", F.length("path").alias("steps"))
+
+
+@query("""SELECT event_id, coalesce(f.factor, 2.5) AS factor FROM events LEFT JOIN (VALUES ('click', 1.5), ('view', 2.5)) f(event_type, factor) USING (event_type)""")
+def default_factor(spark, d):
+    """Factors by language with a default, here by kind of event: kinds without one get that of views."""
+    factors = spark.createDataFrame([("click", 1.5), ("view", 2.5)], "event_type string, factor double")
+    return vectors.with_fallback(t(spark, d, "events").select("event_id", "event_type"), factors, "event_type", "view").select("event_id", "factor")
+
+
+@query("SELECT event_id, ts > TIMESTAMP '2023-06-01' AND ts < TIMESTAMP '9999-12-31' AS inside FROM events")
+def open_interval(spark, d):
+    """An interval that has a start but no end."""
+    inside = relevance.contains(F.col("ts"), relevance.Interval.after_date("2023-06-01", 5))
+    return t(spark, d, "events").select("event_id", inside.alias("inside"))
 
 
 @query("SELECT DISTINCT url FROM pages WHERE NOT regexp_matches(url, 'example.com')")
@@ -513,18 +549,6 @@ def _graph(spark, d):
     return o.select(name(F.col("o_orderkey")).alias("url"), (F.col("o_totalprice") / 600000).alias("relevance"), F.lit(0.5).alias("score"), F.transform(after, lambda x: name(x)).alias("links"), "crawl_ts", "o_orderkey", "o_custkey")
 
 
-@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER w AS a, lead(o_orderkey, 2) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-e AS (SELECT k, a AS x FROM o WHERE a IS NOT NULL UNION ALL SELECT k, b FROM o WHERE b IS NOT NULL),
-r(k, depth) AS (SELECT min(o_orderkey), 1 FROM orders GROUP BY o_custkey HAVING o_custkey % 50 = 0 UNION SELECT e.x, r.depth + 1 FROM r JOIN e ON e.k = r.k WHERE r.depth < 3)
-SELECT 'http://o' || k || '.org/' AS url, min(depth)::INTEGER AS depth FROM r GROUP BY 1""")
-def crawl_rounds(spark, d):
-    """Three breadth-first rounds from the first order of every 50th customer."""
-    graph = _graph(spark, d)
-    first = graph.filter("o_custkey % 50 = 0").groupBy("o_custkey").agg(F.min_by("url", "o_orderkey").alias("url")).select("url")
-    out = crawling.crawl(first, graph.drop("o_orderkey", "o_custkey"), batch=10_000_000, stop=crawling.queue_empty(), max_rounds=3)
-    return out.results.select("url", F.length("path").alias("depth"))
-
-
 @query("""SELECT 'http://o' || o_orderkey || '.org/' AS url, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) // 2 + 1)::INTEGER AS depth FROM orders""")
 def crawl_to_end(spark, d):
     """Breadth-first rounds from the first order of every customer until the queue is empty."""

@@ -56,9 +56,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_INDEX).parquet(path)
 
 
+def grep_lines(lines: DataFrame, pattern: str) -> DataFrame:
+    """URLs (second field) of the lines (value) that a pattern matches."""
+    return lines.filter(F.col("value").rlike(pattern)).select(F.get(F.split("value", r"\s+"), 1).alias("url")).distinct()
+
+
 def grep_index(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """URLs (second field) of the index lines that a pattern matches."""
-    return spark.read.text(path).filter(F.col("value").rlike(pattern)).select(F.get(F.split("value", r"\s+"), 1).alias("url")).distinct()
+    return grep_lines(spark.read.text(path), pattern)
 
 
 def merge_seeds(specs: DataFrame, seeds: DataFrame) -> DataFrame:
