@@ -206,6 +206,39 @@ def test_decontamination(spark, block, monkeypatch):
     assert got == brute_leaks(rows, items)
 
 
+def test_index_holds_every_word_whatever_the_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
+    rows = [(k, f"Alpha beta alpha w{k} " * 5) for k in range(12)] + [(50, None), (51, "")]
+    count = Counter()
+    for row in decontaminate.build_index(docs(spark, rows), 11).collect():
+        words = bytes(row["terms"]).split(b"\n")
+        heads = np.frombuffer(row["heads"], np.int64)
+        place = np.cumsum(np.frombuffer(row["positions"], np.int32))
+        for word, post in zip(words, np.split(place, heads[1:]), strict=False):
+            assert (np.diff(post) > 0).all()
+            count[word.decode()] += len(post)
+    count.pop("", None)
+    assert count == Counter({"alpha": 120, "beta": 60, **{f"w{k}": 5 for k in range(12)}})
+
+
+def test_one_index_for_all_blocks(spark, monkeypatch):
+    built = []
+    build = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda *a: built.append(a) or build(*a))
+    items = [(k, f"only item{k} here") for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"x only item{k} here y") for k in range(50)]
+    found = decontaminate.find_leaks(docs(spark, rows), bench, block_words=20).collect()
+    assert len(built) == 1
+    assert {r.doc_id: list(r["items"]) for r in found} == {k: [str(k)] if k < 40 else [] for k in range(50)}
+
+
+def test_drop_leaks_with_clashing_column(spark):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    own = docs(spark, [(1, "x a b"), (2, "b a")]).withColumn("__leak", F.lit(7))
+    assert [(r.doc_id, r["__leak"]) for r in decontaminate.drop_leaks(own, bench).collect()] == [(2, 7)]
+
+
 def test_proximity(spark):
     a = "one two three four five six seven eight nine ten"
     b = "one two three four five MORE six seven eight nine ten"

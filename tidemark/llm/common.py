@@ -33,21 +33,22 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2_000
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, rows: int = BATCH_ROWS, per_file: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recompute, and
-    Python stages upstream run once however often the result is read.
+    Python stages upstream run once however often the result is read. Python gets
+    at most ``rows`` rows at once; a file takes at most ``per_file`` (0: any number).
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     # Arrow batches of whole texts are kept small, in the JVM and in Python alike.
-    rows = int(spark.conf.get(ARROW_ROWS, "10000"))
-    spark.conf.set(ARROW_ROWS, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    usual = int(spark.conf.get(ARROW_ROWS, "10000"))
+    spark.conf.set(ARROW_ROWS, str(min(usual, rows) if usual > 0 else rows))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, str(rows))
+        spark.conf.set(ARROW_ROWS, str(usual))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

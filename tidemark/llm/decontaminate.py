@@ -1,13 +1,15 @@
 """Benchmark decontamination on a positional inverted index that is split by document.
 
 ``build_index`` turns every batch of training documents into one immutable index
-shard: for each test term the sorted positions at which it stands. Shards are
-stored as a table, so a lost executor re-reads, and no term has a list that
-gathers in one place: frequent words are spread over all shards. ``search`` takes
-the test windows to every shard, starts from the window's rarest term there and
-intersects offset-adjusted lists term by term; with ``slop`` every term may stand
-up to that many words off its place, which gives proximity matches beside the
-exact phrases. Test items are taken in blocks of bounded size.
+shard: its words, and for each the sorted positions at which it stands. All words
+of all documents are indexed, whatever the test items are, so one stored index
+answers any test set. A lost executor re-reads shards, and no term has a list
+that gathers in one place: frequent words are spread over all shards. ``search``
+takes the test windows to every shard, starts from the window's rarest term there
+and intersects offset-adjusted lists term by term; with ``slop`` every term may
+stand up to that many words off its place, which gives proximity matches beside
+the exact phrases. Test items are taken in blocks of bounded size, all of which
+search the same index.
 
 Defined cases: null or empty texts have no words and are never hit; items without
 words match nothing; items shorter than a window are one window; a null item id
@@ -20,19 +22,23 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, start_task
+from tidemark.llm.common import free_name, materialise, start_task
 
 # A word: bytes other than these (text as UTF-8, A-Z lower-cased).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 1_000_000
+# Shards hold some megabytes each: so many go into a file, and so many to Python at once.
+SHARDS_A_FILE = 16
+SHARDS_A_BATCH = 4
 INDEX = "shard long, docs binary, starts binary, lengths binary, terms binary, heads binary, positions binary"
 
 
@@ -40,20 +46,19 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _builder(terms: dict[bytes, int], gap: int):
-    def shard(name: int, docs: list, lengths: list[int], tokens: list[np.ndarray]) -> pa.RecordBatch:
+def _builder(gap: int):
+    def shard(name: int, docs: list, lengths: list[int], tokens: list[np.ndarray], known: dict[bytes, int]) -> pa.RecordBatch:
         n = np.array(lengths, np.int64)
-        starts = np.concatenate([[0], np.cumsum(n + gap)[:-1]]) if len(n) else n
-        token = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+        starts = np.concatenate([[0], np.cumsum(n + gap)[:-1]])
+        token = np.concatenate(tokens)
         place = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(token))
-        own = token >= 0
-        token, place = token[own], place[own]
-        order = np.argsort(token, kind="stable")
-        token, place = token[order], place[order].astype(np.int32)
-        known, heads = np.unique(token, return_index=True)
+        place = place[np.argsort(token, kind="stable")].astype(np.int32)
+        heads = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(known)))[:-1]]) if known else n[:0]
         ids = np.array([-1 if d is None else d for d in docs], np.int64)
         none = np.array([d is None for d in docs], np.uint8)
-        cols = [ids.tobytes() + none.tobytes(), starts.astype(np.int64), n, known.astype(np.int32), heads.astype(np.int64), place]
+        # Words hold no line feed. Positions are kept as steps, which are small and compress well.
+        steps = np.diff(place, prepend=np.int32(0))
+        cols = [ids.tobytes() + none.tobytes(), starts.astype(np.int64), n, b"\n".join(known), heads.astype(np.int64), steps]
         arrays = [pa.array([c if isinstance(c, bytes) else c.tobytes()], pa.binary()) for c in cols]
         return pa.record_batch([pa.array([name], pa.int64()), *arrays], ["shard", "docs", "starts", "lengths", "terms", "heads", "positions"])
 
@@ -63,27 +68,29 @@ def _builder(terms: dict[bytes, int], gap: int):
         start_task("decontaminate")
         name = TaskContext.get().partitionId() << 32
         docs, lengths, tokens, held = [], [], [], 0
+        known: dict[bytes, int] = defaultdict(count().__next__)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 words = words_of(text.as_py())
-                tokens.append(np.fromiter(map(terms.get, words, [-1] * len(words)), np.int32, len(words)))
+                tokens.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 docs.append(doc)
                 lengths.append(len(words))
                 held += len(words) + gap
                 if held >= SHARD_WORDS:
-                    yield shard(name, docs, lengths, tokens)
+                    yield shard(name, docs, lengths, tokens, known)
                     name, docs, lengths, tokens, held = name + 1, [], [], [], 0
+                    known = defaultdict(count().__next__)
         if docs:
-            yield shard(name, docs, lengths, tokens)
+            yield shard(name, docs, lengths, tokens, known)
 
     return run
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame:
-    """The stored index: postings of ``terms`` in every document, one row per shard."""
+def build_index(docs: DataFrame, gap: int) -> DataFrame:
+    """The stored index: postings of every word of every document, one row per shard."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return materialise(texts.mapInArrow(_builder(terms, gap), INDEX), "positional-index")
+    return materialise(texts.mapInArrow(_builder(gap), INDEX), "positional-index", per_file=SHARDS_A_FILE)
 
 
 def windows_of(items: list[tuple[str, list[bytes]]], terms: dict[bytes, int], size: int) -> dict[tuple[int, ...], list[str]]:
@@ -107,7 +114,7 @@ def _near(post: np.ndarray, want: np.ndarray, slop: int) -> tuple[np.ndarray, np
     return near, post[exact] == want
 
 
-def _searcher(windows: dict[tuple[int, ...], list[str]], slop: int):
+def _searcher(terms: dict[bytes, int], windows: dict[tuple[int, ...], list[str]], slop: int):
     keys, items = list(windows), list(windows.values())
     longest = max(map(len, keys), default=1)
     grid = np.full((len(keys), longest), -1, np.int32)
@@ -119,15 +126,19 @@ def _searcher(windows: dict[tuple[int, ...], list[str]], slop: int):
         for batch in batches:
             for row in batch.to_pylist():
                 starts, n = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["lengths"], np.int64)
-                known, heads = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["heads"], np.int64)
-                place = np.frombuffer(row["positions"], np.int32)
-                if not len(known):
+                words = row["terms"].split(b"\n")
+                known = np.fromiter((terms.get(w, -1) for w in words), np.int32, len(words))
+                heads = np.frombuffer(row["heads"], np.int64)
+                own = np.flatnonzero(known >= 0)
+                if not len(own):
                     continue
-                count = np.zeros(most + 1, np.int64)
+                place = np.cumsum(np.frombuffer(row["positions"], np.int32), dtype=np.int32)
                 ends = np.append(heads[1:], len(place))
-                count[known] = ends - heads
+                known, heads, ends = known[own], heads[own], ends[own]
+                held = np.zeros(most + 1, np.int64)
+                held[known] = ends - heads
                 lists = dict(zip(known.tolist(), zip(heads.tolist(), ends.tolist(), strict=True), strict=True))
-                df = np.where(grid >= 0, count[grid], 1)
+                df = np.where(grid >= 0, held[grid], 1)
                 cover: dict[int, list[np.ndarray]] = defaultdict(list)
                 hit: dict[int, set[str]] = defaultdict(set)
                 close: dict[int, set[str]] = defaultdict(set)
@@ -199,15 +210,16 @@ def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: in
     items = items.filter(F.length("text") > 0)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (6 * block_words)))
-    gap, index, hits = window + slop + 1, None, None
+    gap, hits = window + slop + 1, None
+    index = build_index(docs, gap)
     for b in range(blocks):
-        # Each block holds about block_words words, however large the benchmark is.
+        # Each block holds about block_words words, however large the benchmark is; its hits are written before the next.
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         own = [(r["item"], words_of(r["text"].encode())) for r in own]
         terms = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in own for w in ws))}
-        index = build_index(docs, terms, gap)
         found = index.select("shard", "starts", "lengths", "terms", "heads", "positions")
-        found = found.mapInArrow(_searcher(windows_of(own, terms, window), slop), HITS)
+        found = found.mapInArrow(_searcher(terms, windows_of(own, terms, window), slop), HITS)
+        found = materialise(found, "index-hits", rows=SHARDS_A_BATCH)
         hits = found if hits is None else hits.unionByName(found)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     hits = hits.groupBy("shard", "ord").agg(flat("places"), flat("items"), flat("near_items"))
@@ -239,5 +251,6 @@ def proximity_report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, sl
 
 def drop_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any occurring window, with all their columns; rows that share an id share their fate."""
-    found = find_leaks(docs, bench, window).filter(F.size("places") > 0).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")
+    leak = free_name(docs, "__leak")
+    found = find_leaks(docs, bench, window).filter(F.size("places") > 0).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(leak)), "left_anti")
