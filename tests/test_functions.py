@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, html, relevance, text, urls
+from tidemark.functions import analyzers, dates, html, relevance, text, urls
 
 
 def one(spark, column, **values):
@@ -184,3 +184,26 @@ def test_scores(spark):
     i = relevance.Interval("2003-03-20", "2013-05-31", 180, 180)
     assert one(spark, relevance.stepwise(F.lit("2003-03-18 04:51:00").cast("timestamp"), i)) == 1.0
     assert not one(spark, relevance.contains(F.lit(None).cast("timestamp"), i))
+
+
+def test_english_stems():
+    # Published examples of the algorithm.
+    pairs = """caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat
+    troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
+    relational relat conditional condit rational ration digitizer digit vietnamization vietnam operator oper decisiveness decis
+    triplicate triplic formative form electrical electr hopeful hope goodness good revival reviv allowance allow adjustment adjust
+    adoption adopt communism commun effective effect probate probat rate rate cease ceas controll control roll roll is is"""
+    words = pairs.split()
+    for word, stem in zip(words[::2], words[1::2], strict=True):
+        assert analyzers.english_stem(word) == stem, word
+
+
+def test_analyzers_by_language(spark):
+    rows = [(1, "Die Häuser der 61,4 Abgerufen", "de"), (2, "The dog's hopping and U.S. cats, 3.a", "en"), (3, "L’amour et les chevaux", "fr"),
+            (4, "Dell'amore e le citta", "it"), (5, "Die Häuser", "pt"), (6, None, "de"), (7, "", None)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r.id: r.t for r in docs.select("id", analyzers.terms(F.col("text"), F.col("lang")).alias("t")).collect()}
+    assert got[1] == ["die", "haus", "der", "61,4", "abgeruf"]
+    assert got[2] == ["dog", "hop", "u.", "cat", "3"]
+    assert got[3] == ["amour", "cheval"] and got[4][0] == "amore"
+    assert got[5] == ["die", "haus"] and got[6] is None and got[7] == []

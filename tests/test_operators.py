@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import relevance
-from tidemark.operators import content, frontier, keyphrase, langid, snapshots, vectors
+from tidemark.operators import content, frontier, keyphrase, langid, similarity, snapshots, vectors
 from tidemark.plans import analysis
 from tidemark.plans import crawl as crawling
 from tidemark.sources import archive, mediawiki, tables
@@ -157,6 +157,51 @@ def test_page_analysis(spark):
     assert analysis.experiments(spark.createDataFrame([("s",)], "name string")).count() == 12
 
 
+def test_outlinks_are_resolved_and_normalised(spark):
+    links = ["../up", "?q=1", "//Other.org/x", "HTTP://e.org:80/a/./b", "#top", "mailto:x", "javascript:1", "", "c?utm_source=1&b=2", "c?b=2"]
+    page = "<p>text</p>" + "".join(f"<a href='{x}'>n</a>" for x in links)
+    rows = [(1, "http://e.org/d/p.html", page, "text/html"), (2, "http://e.org/", page, "image/png"), (3, "http://e.org/", page, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, mime string")
+    got = sorted(r.link for r in analysis.outlinks(pages).collect())
+    assert got == sorted(["http://e.org/up", "http://e.org/d/p.html?q=1", "http://other.org/x", "http://e.org/a/b", "http://e.org/d/p.html", "http://e.org/d/c?b=2"])
+    assert {r.page_id: r.text for r in analysis.parse_pages(pages).collect()}[2] == ""
+    assert analysis.outlinks(pages.drop("mime")).select("page_id").distinct().count() == 3
+
+
+def test_fetch(spark, tmp_path):
+    def response(body):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        return gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://e.org/\r\nWARC-Date: 2010-01-02T03:04:05Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http))
+
+    (tmp_path / "ARC").mkdir()
+    first = response(b"early")
+    (tmp_path / "ARC" / "ARC-1.warc.gz").write_bytes(first + response(b"near"))
+    at = [("org,e)/", 1, datetime(2001, 1, 1), "ARC-1.warc.gz", 0), ("org,e)/", 2, datetime(2010, 1, 2), "ARC-1.warc.gz", len(first)),
+          ("org,f)/", 1, datetime(2010, 1, 2), "ARC-9.warc.gz", 0)]
+    index = spark.createDataFrame(at, "surt string, version long, ts timestamp, filename string, offset long")
+    frontier = spark.createDataFrame([("http://e.org/",), ("http://f.org/",), ("http://g.org/",)], "url string")
+    event = relevance.Interval("2010-01-01", "2010-02-01", 5, 5)
+    got = archive.fetch(frontier, index, event, str(tmp_path)).collect()
+    assert [(r.asked_url, r.version, r.text, r.status) for r in got] == [("http://e.org/", 2, "near", 200)]
+    both = archive.fetch(frontier, index, event, f"file://{tmp_path}", versions=2).collect()
+    assert sorted((r["rank"], r.text) for r in both) == [(1, "near"), (2, "early")]
+
+
+def test_language_similarity(spark):
+    weights = spark.createDataFrame([(1, "a", 3.0), (1, "b", 4.0), (2, "a", 1.0), (3, "z", 1.0)], "doc_id long, term string, w double")
+    docs = spark.createDataFrame([(1, "en"), (2, "pt"), (3, "de"), (4, None)], "doc_id long, language string")
+    spec = spark.createDataFrame([("s", {"en": ({"b": 1.0},), "de": ({"a": 2.0},)}, {"de": 0.5})],
+        "name string, referenceVectors map<string,struct<elements:map<string,double>>>, correctionFactors map<string,double>")
+    ref, factor = similarity.stored_vectors(spec).drop("name"), similarity.stored_factors(spec).drop("name")
+    got = {r.doc_id: (r.route, round(r.sim, 6)) for r in similarity.language_cosine(weights, docs, ref, factor, "doc_id").collect()}
+    assert got == {1: ("en", 0.8), 2: ("de", 2.0), 3: ("de", 0.0), 4: ("de", 0.0)}
+    lone = similarity.language_cosine(weights, docs, ref.filter("language = 'en'"), factor, "doc_id").collect()
+    assert {r.doc_id: round(r.sim, 6) for r in lone} == {1: 0.8, 2: 0.0, 3: 0.0, 4: 0.0}
+    labels = spark.createDataFrame([(1, "de", "x"), (1, None, "y"), (1, "en", "x"), (2, None, "q")], "topic long, language string, name string")
+    assert {(r.topic, r.language): r.keywords for r in similarity.language_keywords(labels, "topic").collect()} == {(1, "de"): ["x", "y"], (1, "en"): ["x", "y"], (2, None): ["q"]}
+    assert spark.range(1).select(similarity.all_keywords(F.create_map(F.lit("de"), F.array(F.lit("b"), F.lit("a")), F.lit("en"), F.array(F.lit("b")))).alias("k")).first().k == ["a", "b"]
+
+
 def test_archive(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nDate: Mon, 03 Jan 2011 10:20:30 GMT\r\n\r\n<p>\xe4</p>"
     warc = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://e.org/\r\nWARC-Date: 2010-01-02T03:04:05Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
@@ -169,9 +214,9 @@ def test_archive(spark, tmp_path):
     assert all(r.text == "<p>ä</p>" and r.status == 200 and r.mime == "text/html" for r in got) and got[0].crawl_ts == datetime(2010, 1, 2, 3, 4, 5)
     files = spark.read.format("binaryFile").load(f"{tmp_path}/*")
     assert archive.from_binary_files(files).count() == 3
-    content_ = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), "content")
-    where = spark.createDataFrame([("a.warc.gz", len(gzip.compress(warc))), ("b.arc", 0), ("b.arc", 5_000)], "filename string, offset long")
-    assert archive.read_located(where, content_).count() == 2
+    at = [("a.warc.gz", len(gzip.compress(warc)), 1), ("b.arc", 0, 2), ("b.arc", 5_000, 3), ("gone.arc", 0, 4)]
+    where = spark.createDataFrame([(str(tmp_path / n), o, k) for n, o, k in at], "path string, offset long, k int")
+    assert sorted(r.k for r in archive.read_located(where).collect()) == [1, 2]
     assert archive.charset(b"<meta charset='utf-16'>", {"Content-Type": "text/html"}) == "utf-16" and archive.charset(b"", {}) == "utf-8"
     assert archive.snapshot("u", None, None, http)[1] == datetime(2011, 1, 3, 10, 20, 30)
 

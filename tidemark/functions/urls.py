@@ -201,6 +201,27 @@ def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or x is None else one(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _absolute(base: pd.Series, links: pd.Series) -> pd.Series:
+    seen: dict[str, str | None] = {}
+
+    def one(b, x):
+        try:
+            full = urljoin(b or "", x)
+        except ValueError:
+            return None
+        if full not in seen:
+            seen[full] = canonical(full) if full.startswith("http") else None
+        return seen[full]
+
+    return pd.Series([None if xs is None else [y for x in xs if x and (y := one(b, x))] for b, xs in zip(base, links, strict=True)], dtype=object)
+
+
+def absolute_links(base: Column, links: Column) -> Column:
+    """A page's links resolved against its address, web links alone, in normal form, without tracking parameters."""
+    return F.transform(_absolute(base, links), lambda x: rewrite(strip_tracking(x)))
+
+
 def compose(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """Normalisers one after the other; a null stays null."""
     return lambda url: reduce(lambda c, step: F.when(c.isNotNull(), step(c)), steps, url)

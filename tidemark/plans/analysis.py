@@ -13,17 +13,24 @@ from tidemark.plans.crawl import written
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, links, title, modified): text, normalised distinct links, and the page's date candidates."""
-    parsed = pages.select("page_id", "url", html.html_parse("html").alias("p"))
-    full = F.transform("p.links", lambda x: F.when(x.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), x).when(
-        x.startswith("//"), F.concat(F.regexp_extract("url", r"^([a-zA-Z]+:)", 1), x)
-    ).when(x.startswith("/"), F.concat(F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]+)", 1), x)).otherwise(
-        F.concat(F.regexp_extract("url", r"^([a-zA-Z]+://[^?#]*/)", 1), x)
-    ))
-    links = F.array_distinct(F.transform(F.filter(full, urls.usable_link), lambda x: urls.rewrite(urls.strip_tracking(x))))
+    """(page_id, url, text, links, title, ...): text, normalised distinct links, and the page's date candidates.
+
+    Only textual content is parsed: where there is a column ``mime``, other pages have an empty text and no links.
+    """
+    body = F.col("html")
+    if "mime" in pages.columns:
+        body = F.when(F.coalesce(F.col("mime"), F.lit("")).startswith("text"), body).otherwise(F.lit(""))
+    parsed = pages.select("page_id", "url", html.html_parse(body).alias("p"))
+    parsed = parsed.withColumn("__links", urls.absolute_links(F.col("url"), F.col("p.links")))
+    links = F.array_distinct(F.filter("__links", urls.usable_link))
     return parsed.select("page_id", "url", F.col("p.text").alias("text"), F.col("p.paragraphs").alias("paragraphs"), "p.title", links.alias("links"), F.col("p.times").alias("times"), F.col("p.metas").alias("metas"))
 
 
+def outlinks(pages: DataFrame) -> DataFrame:
+    """(page_id, link): the distinct links of each page, absolute and normalised."""
+    return parse_pages(pages).select("page_id", F.explode("links").alias("link"))
+
+
 def page_dates(parsed: DataFrame, as_of: str) -> DataFrame:
     """Date cascade of parsed pages: URL; else time and meta elements; else paragraphs that announce a date; else the text.
 

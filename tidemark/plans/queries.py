@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, html, relevance, text, urls
-from tidemark.operators import content, frontier, keyphrase, langid, snapshots, vectors
+from tidemark.functions import analyzers, dates, html, relevance, text, urls
+from tidemark.operators import content, frontier, keyphrase, langid, similarity, snapshots, vectors
 from tidemark.plans import analysis
 from tidemark.plans import crawl as crawling
+from tidemark.plans.crawl import written
 from tidemark.sources import tables
 from tidemark.streaming import events as streaming
 
@@ -228,6 +229,13 @@ def html_outlinks(spark, d):
     return t(spark, d, "pages").select("page_id", F.explode(html.hrefs(F.col("html"))).alias("link"))
 
 
+@query(r"""SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]*') || regexp_replace(replace(replace(url_encode(link), '%2F', '/'), '%2C', ','), '[?&.]$', '') AS link
+ FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages)""")
+def page_outlinks(spark, d):
+    """Links as a crawl would follow them: parsed, absolute, normalised, distinct."""
+    return analysis.outlinks(t(spark, d, "pages"))
+
+
 @query("SELECT page_id, contains(upper(substr(html, 1, 1024)), '<HTML') AS is_html FROM pages")
 def html_sniff(spark, d):
     return t(spark, d, "pages").select("page_id", html.looks_like_html(F.col("html")).alias("is_html"))
@@ -308,6 +316,53 @@ def bigrams(spark, d):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MARKS = ".:·''’"
+# Tokens: marks that stand between a letter and a digit part words, those between two letters or two digits do not.
+_WORDS = rf"""regexp_extract_all(regexp_replace(regexp_replace(lower(text), '(\p{{N}})[,;{_MARKS}](\p{{L}})', '\1 \2', 'g'), '(\p{{L}})[,;{_MARKS}](\p{{N}})', '\1 \2', 'g'),
+ '[\p{{L}}\p{{N}}]+(?:[{_MARKS}]\p{{L}}[\p{{L}}\p{{N}}]*|[.,;''’]\p{{N}}[\p{{L}}\p{{N}}]*)*')"""
+_ENGLISH = ", ".join(f"'{w}'" for w in analyzers.ENGLISH)
+
+
+@query(f"""WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'de' END AS route, {_WORDS} AS x FROM documents)
+SELECT doc_id, route, len(CASE WHEN route = 'en' THEN list_filter(x, lambda w: regexp_replace(w, '[''’]s$', '') NOT IN ({_ENGLISH})) ELSE x END)::INTEGER AS words FROM r""")
+def stopped_tokens(spark, d):
+    """Words that are left by the analyzer of the document's language; two languages have one, all others take the default's."""
+    known = ("de", "en")
+    docs = t(spark, d, "documents").select("doc_id", "text", analyzers.route(F.col("lang"), known).alias("route"))
+    return docs.select("doc_id", "route", F.size(analyzers.tokens(F.col("text"), F.col("route"), known)).alias("words"))
+
+
+_STEM = f"""WITH a AS (SELECT doc_id, strip_accents(replace(unnest({_WORDS}), 'ß', 'ss')) AS w FROM documents),
+b AS (SELECT doc_id, CASE WHEN length(w) > 5 AND regexp_matches(w, 'ern$') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND regexp_matches(w, '(em|en|er|es)$') THEN left(w, length(w) - 2)
+ WHEN length(w) > 3 AND regexp_matches(w, '(e|[bdfghklmnt]s)$') THEN left(w, length(w) - 1) ELSE w END AS w FROM a),
+c AS (SELECT doc_id, CASE WHEN length(w) > 5 AND regexp_matches(w, 'est$') THEN left(w, length(w) - 3) WHEN length(w) > 4 AND regexp_matches(w, '(er|en|[bdfghklmnt]st)$')
+ THEN left(w, length(w) - 2) ELSE w END AS term FROM b)"""
+
+
+@query(f"{_STEM} SELECT doc_id, term, count(*) AS n FROM c GROUP BY 1, 2")
+def fallback_terms(spark, d):
+    """Stems of all documents where only the default language has an analyzer."""
+    return similarity.language_counts(t(spark, d, "documents"), "doc_id", known=("de",))
+
+
+@query("""WITH k AS (SELECT n_regionkey AS topic, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 'de' ELSE 'en' END AS language, n_name AS name FROM nation),
+l AS (SELECT DISTINCT topic, language FROM k WHERE language IS NOT NULL),
+u AS (SELECT topic, language, name FROM k WHERE language IS NOT NULL UNION SELECT l.topic, l.language, k.name FROM l JOIN k ON k.topic = l.topic AND k.language IS NULL)
+SELECT topic, language, string_agg(name, ',' ORDER BY name) AS keywords FROM u GROUP BY 1, 2
+UNION ALL SELECT topic, NULL, string_agg(DISTINCT name, ',' ORDER BY name) FROM k WHERE topic NOT IN (SELECT topic FROM l) GROUP BY topic""")
+def language_keywords(spark, d):
+    """Keywords of topics by language, with those of no language."""
+    kind = F.pmod("n_nationkey", F.lit(3))
+    language = F.when(kind == 1, "de").when(kind == 2, "en")
+    labels = t(spark, d, "nation").select(F.col("n_regionkey").alias("topic"), language.alias("language"), F.col("n_name").alias("name"))
+    return similarity.language_keywords(labels, "topic").withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query("SELECT lang, count(DISTINCT text) AS texts FROM documents GROUP BY 1")
+def documents_by_language(spark, d):
+    return similarity.by_language(t(spark, d, "documents"), "lang", "text").groupBy("lang").agg(F.count("text").alias("texts"))
+
+
 _LANG = f"{_TFIDF.replace('@K', '1.0')}, v AS (SELECT w.*, lang FROM w JOIN documents USING (doc_id))"
 
 
@@ -340,6 +395,31 @@ dot AS (SELECT doc_id, sum(w.w * t.w) AS dot FROM w JOIN t ON w.term = t.term AN
 sim AS (SELECT n.doc_id, coalesce(dot / nullif(n.norm * (SELECT norm FROM rn), 0), 0) AS sim FROM n LEFT JOIN dot USING (doc_id))"""
 
 
+_ROUTED = f"""{_TOP}, g AS (SELECT doc_id, CASE WHEN lang IN ('de', 'en') THEN lang ELSE 'de' END AS route FROM documents),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), rn AS (SELECT lang, sqrt(sum(w * w)) AS norm FROM t GROUP BY 1),
+dot AS (SELECT w.doc_id, sum(w.w * t.w) AS dot FROM w JOIN g USING (doc_id) JOIN t ON w.term = t.term AND t.lang = g.route GROUP BY 1)
+SELECT g.doc_id, route, round(coalesce(dot / nullif(n.norm * rn.norm, 0), 0) / CASE WHEN route = 'de' THEN 0.5 ELSE 1 END, 6) AS sim
+FROM g LEFT JOIN n USING (doc_id) LEFT JOIN dot USING (doc_id) LEFT JOIN rn ON rn.lang = g.route"""
+
+
+@query(f"WITH {_ROUTED}")
+def language_cosine(spark, d):
+    """Similarity of every document to the reference of its language, from a stored specification; German stands in for others."""
+    docs, weights = t(spark, d, "documents"), _weights(spark, d)
+    own = weights.join(docs.select("doc_id", "lang").filter("lang in ('de', 'en')"), "doc_id")
+    top = vectors.top_terms(vectors.merge(own, "lang", "doc_id"), "lang", 100)
+    packed = top.groupBy("lang").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("elements")).alias("v"))
+    spec = packed.groupBy(F.lit("s").alias("name")).agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "v"))).alias("referenceVectors"),
+        F.map_from_arrays(F.array(F.lit("de")), F.array(F.lit(0.5))).alias("correctionFactors"),
+    )
+    spec = written(spec, "spec")
+    found = similarity.language_cosine(
+        weights, docs.select("doc_id", F.col("lang").alias("language")), similarity.stored_vectors(spec).drop("name"), similarity.stored_factors(spec).drop("name"), "doc_id"
+    )
+    return found.select("doc_id", "route", r6(F.col("sim")).alias("sim"))
+
+
 def _similarity(spark, d):
     weights = _weights(spark, d)
     lang = weights.join(t(spark, d, "documents").select("doc_id", "lang").filter("lang = 'de'"), "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.functions import relevance
+from tidemark.operators import snapshots
+
 SNAPSHOT = "url string, crawl_ts timestamp, status int, mime string, headers map<string,string>, text string, body binary"
 META = re.compile(rb"""<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_-]+)""", re.I)
 
@@ -122,7 +126,7 @@ class WarcReader(DataSourceReader):
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
+        with _open(partition.value) as f:
             start = f.read(2)
             f.seek(0)
             yield from records(io.BufferedReader(gzip.GzipFile(fileobj=f)) if start == b"\x1f\x8b" else f)
@@ -140,23 +144,60 @@ def from_binary_files(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(run, SNAPSHOT)
 
 
-def read_located(locations: DataFrame, files: DataFrame) -> DataFrame:
-    """One snapshot for each location (filename, offset) of ``files`` (filename, content); unreadable ones are left out."""
-    joined = locations.join(files, "filename").groupBy("filename").agg(F.collect_set("offset").alias("offsets"), F.first("content").alias("content"))
+def _open(path: str):
+    """A seekable buffered stream of a file in any store that Arrow knows; plain paths are local or mounted."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
+    return io.BufferedReader(store.open_input_file(name))
+
+
+def record_at(path: str, offset: int) -> tuple | None:
+    """The snapshot at an offset; only its own bytes are read. None where there is none or it can't be read."""
+    try:
+        with _open(path) as f:
+            f.seek(offset)
+            packed = f.read(2) == b"\x1f\x8b"
+            f.seek(offset)
+            return next(records(io.BufferedReader(gzip.GzipFile(fileobj=f)) if packed else f), None)
+    except (OSError, EOFError, ValueError, zlib.error):
+        return None
+
+
+SPAN = 1 << 28  # bytes of one file whose records a task reads in order
+
+
+def read_located(locations: DataFrame) -> DataFrame:
+    """``locations`` (path, offset, more) with their snapshot's columns; those that can't be read are left out.
+
+    Locations are dealt by file and stretch of it and read in order of offset, so no file's bytes are shuffled and
+    a large file's records are spread. A location column named like a snapshot's gives way to the snapshot's.
+    """
+    names = [x.split()[0] for x in SNAPSHOT.split(", ")]
+    kept = [c for c in locations.columns if c.lower() not in names]
+    dealt = locations.select(*kept).repartition("path", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("path", "offset")
+    types = {f.name: f.dataType.simpleString() for f in locations.schema}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + [SNAPSHOT])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SNAPSHOT.split(", ")]
         for batch in batches:
-            out = []
-            for offsets, data in zip(batch["offsets"], batch["content"], strict=True):
-                for offset in offsets:
-                    try:
-                        out.append(next(read_bytes(bytes(data), int(offset))))
-                    except (StopIteration, OSError, EOFError, ValueError):
-                        continue
-            yield pd.DataFrame(out, columns=names)
-
-    return joined.select("offsets", "content").mapInPandas(run, SNAPSHOT)
+            # Some records at once: bodies can be large.
+            for lo in range(0, len(batch), 64):
+                part = batch.iloc[lo : lo + 64].reset_index(drop=True)
+                found = [record_at(p, int(o)) for p, o in zip(part["path"], part["offset"], strict=True)]
+                good = [k for k, r in enumerate(found) if r is not None]
+                got = pd.DataFrame([found[k] for k in good], columns=names)
+                yield pd.concat([part.iloc[good].reset_index(drop=True), got], axis=1)
+
+    return dealt.mapInPandas(run, schema)
+
+
+def fetch(frontier: DataFrame, index: DataFrame, interval: relevance.Interval, root: str, versions: int = 1) -> DataFrame:
+    """Snapshots of the frontier's URLs: all versions located, the best ones by time kept, their records read."""
+    found = snapshots.locate(frontier, index)
+    best = snapshots.best_by_time(found, "url", "ts", interval, versions, "version").withColumnRenamed("url", "asked_url")
+    paths = best.withColumn("path", snapshots.resolve_path(F.col("filename"), root))
+    return read_located(paths.select("asked_url", "rank", "version", "path", F.col("offset").cast("long").alias("offset")))
 
 
 def decode_html(body: Column) -> Column:
