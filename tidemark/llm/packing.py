@@ -7,8 +7,9 @@ histogram: each step takes the longest length left, finds by a bitset subset-sum
 dynamic programme the fullest combination with the other lengths, and removes it
 as often as the counts allow. The plan (a few thousand rows, bounded by the
 capacity) goes back to the executors, where each piece finds its place from its
-length and its rank among equal lengths. Ranks are taken inside (length, salt)
-groups of bounded size, so a length that a third of all pieces share is spread.
+length and its rank among equal lengths. Ranks are counted while a task cuts its
+pieces; what the tasks before it hold of a length is added from the tasks' tallies,
+so a length that a third of all pieces share needs no sorting and gathers nowhere.
 
 Defined cases: null text is the empty text, which is one piece of the end token;
 a null id is kept as null; repeated rows are packed one by one (they are told
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KEPT, materialise, partitions, start_task
+from tidemark.llm.common import KEPT, materialise, start_task
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 SLICE = 6 << 20
 MAX_WORDS = 800_000  # words a Python worker keeps; then it starts anew
 
@@ -155,20 +157,22 @@ def _tokenise(path: str, capacity: int, with_ids: bool):
 
         start_task("packing")
         words = _words(path)
-        seen = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        seen: Counter[int] = Counter()
         for ids, texts in _slices(batches):
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for doc, data in zip(ids.to_pylist(), words.encode(texts), strict=True):
                 data += END
                 for k, b in enumerate(range(0, len(data), step)):
                     piece = data[b : b + step]
-                    seen += 1
-                    row = (doc, k, b // 4, len(piece) // 4, zlib.crc32(piece), seen, piece)
+                    n = len(piece) // 4
+                    row = (doc, k, b // 4, n, zlib.crc32(piece), task, seen[n], piece)
+                    seen[n] += 1
                     for col, v in zip(out, row, strict=True):
                         col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"]
-            n = 7 if with_ids else 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"]
+            n = 8 if with_ids else 7
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out[:n], kinds[:n], strict=True)], names[:n])
 
     return run
@@ -237,24 +241,18 @@ class Places:
         return sequence, offset
 
 
-def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, group_rows: int = 100_000
-) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]."""
-    spark = docs.sparkSession
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids (little-endian, 32 bits each)]."""
     schema = PIECES + (", ids binary" if with_ids else "")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = materialise(texts.mapInArrow(_tokenise(tokenizer_path, capacity, with_ids), schema), "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    tallies = pieces.groupBy("length", "task").count()
+    counts = {r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     places = Places(plan_bins(counts, capacity))
-    salts = max(4 * partitions(spark) // 10 + 1, sum(counts.values()) // group_rows + 1)
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("salt"), F.lit(salts)))
-    parts = salted.groupBy("length", "part").count()
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "part").orderBy("salt")
-    ranked = salted.withColumn("rank", F.row_number().over(inside) - 1)
-    ranked = ranked.join(parts, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tallies.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    # The tallies are a row for each length of a task: Spark broadcasts them where its own size check allows that.
+    ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("base"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
