@@ -128,3 +128,85 @@ def test_probabilities_sum_to_one():
     unseen = next(10 ** p.astype(float) for c, p in full if c == 0)
     missing = sum(c == 0 for c, p in full)
     assert missing >= 1 and np.allclose((known + unseen)[totals > 0], 1, atol=1e-4)
+
+
+def test_every_previous_word_is_a_context(spark):
+    """Rare words that foretell the next one: no list of frequent words holds them."""
+    learn = [k for k in range(3_000) if zlib.crc32(str(k).encode()) % 7 != 2][:1_200]
+    held = [k for k in range(3_000, 4_000) if zlib.crc32(str(k).encode()) % 7 == 2][:100]
+    rng = np.random.default_rng(5)
+    pair = lambda k, j: f"x{k} y{j}"
+    rows = [(i, " ".join(pair(k, k) for k in rng.integers(0, 200, 20))) for i in learn]
+    like, unlike = held[:50], held[50:]
+    for a, b in zip(like, unlike, strict=True):
+        ks = rng.integers(0, 200, 20)
+        rows += [(a, " ".join(pair(k, k) for k in ks)), (b, " ".join(pair(k, (k + 7) % 200) for k in ks))]
+    got = {r["doc_id"]: r["score"] for r in py.score_documents(docs(spark, rows)).collect()}
+    gain = [(got[a] - got[b]) / 20 for a, b in zip(like, unlike, strict=True)]
+    assert min(gain) > 1  # log10 for each pair
+
+
+@pytest.fixture
+def task(monkeypatch):
+    import pyspark
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+
+
+@pytest.mark.parametrize(("hot", "bits"), [([], []), (["the", py.END, "en3"], [3, 1, 8])])
+def test_pairs_and_tables_of_all_contexts(task, monkeypatch, hot, bits):
+    """Customers equal brute force; a context's tables are its pairs' tables, so its probabilities sum to one."""
+    monkeypatch.setattr(py, "CHUNK_BYTES", 4_000)
+    rows = [(k, t, k % 7 == 2) for k, (_, t) in enumerate(corpus()[:300])]
+    batch = pa.record_batch([pa.array(c) for c in zip(*[(k, h, t) for k, t, h in rows], strict=True)], ["doc_id", "held", "text"])
+    stored = [pa.record_batch(b.columns[:5], list("abcde")) for b in py._store(iter([batch])) if not b.column(0).null_count]
+    assert len(stored) > 5
+    hot_bits = np.array(bits, np.int64)
+    asks = pa.Table.from_batches(list(py._asker(hot, hot_bits, 3)(iter(stored))))
+    placer = py._placer(py._hashes(pa.array(hot, pa.string())), hot_bits)
+    found, tables, hot_sum = {}, {}, Counter()
+    vocabulary = sorted({w for _, t, _ in rows for w in t.split()} | {py.END})
+    word_of = dict(zip(py._hashes(pa.array(vocabulary)).tolist(), vocabulary, strict=True))
+    for bucket in set(asks.column("bucket").to_pylist()):
+        own = asks.filter(py.pc.equal(asks.column("bucket"), bucket))
+        out = placer(own).to_pylist()
+        for ask, row in zip(own.to_pylist(), out, strict=False):
+            u, k = ask["units"], ask["pairs"]
+            _, before, n, word, _, _ = py._unpacked(ask["asks"], [np.uint32, np.uint64, np.int32, np.uint64, np.int32, np.uint8], [u, u, u, k, k, k])
+            _, in_context, c, t = py._unpacked(row["seats"], [np.uint32, np.int64, np.uint32, np.uint32], [u, u, k, k])
+            for key, total in zip(before.tolist(), in_context.tolist(), strict=True):
+                tables[word_of[key]] = total
+            for a, b, x, y in zip(np.repeat(before, n).tolist(), word.tolist(), c.tolist(), t.tolist(), strict=True):
+                assert found.setdefault((word_of[a], word_of[b]), (x, y)) == (x, y)
+        for row in out[own.num_rows :]:
+            hot_sum[hot[row["hot"]]] += row["tables"]
+    want = Counter()
+    for _, t, h in rows:
+        words = [py.END, *t.split(), py.END]
+        want.update({p: 0 for p in zip(words, words[1:], strict=False)} if h else Counter(zip(words, words[1:], strict=False)))
+    assert {p: c for p, (c, _) in found.items()} == dict(want)
+    assert all(py.SAMPLES * min(c, 1) <= t <= py.SAMPLES * c for c, t in found.values())
+    sums = Counter()
+    for (a, _), (_, t) in found.items():
+        sums[a] += t
+    assert dict(sums) == {a: hot_sum[a] if a in hot else n for a, n in tables.items()}
+
+
+def test_slices_of_hot_contexts_change_no_score(spark, monkeypatch):
+    """Where no pair occurs twice in training there is nothing to sample, so scores must be the same."""
+    rows = [(k, f"a{k} hub b{k} c{k} hub d{k} e{k}") for k in range(200)]
+    score = lambda: {r["doc_id"]: r["score"] for r in py.score_documents(docs(spark, rows).coalesce(2)).collect()}
+    want = score()
+    monkeypatch.setattr(py, "HOT", 20)
+    monkeypatch.setattr(py, "BUCKET", 20)
+    got = score()
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
