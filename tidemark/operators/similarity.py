@@ -48,18 +48,20 @@ def language_counts(docs: DataFrame, *keys: str, language: str = "lang", known:
     return words.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def language_cosine(weights: DataFrame, documents: DataFrame, reference: DataFrame, factors: DataFrame, key: str, default: str = analyzers.DEFAULT) -> DataFrame:
+def language_cosine(weights: DataFrame, documents: DataFrame, reference: DataFrame, factors: DataFrame, key: str, default: str = analyzers.DEFAULT, blocks: vectors.Blocks | None = None) -> DataFrame:
     """(key, route, sim) for every row of ``documents`` (key, language): corrected cosine with the reference of its language.
 
     ``weights``: (key, term, w); ``reference``: (language, term, w); ``factors``: (language, factor). A language
     without a reference goes to the default's; where nothing is shared, or the default has none either, sim is 0.
+    References are a specification's: a fixed number of terms for each language. ``blocks``: those of the weights.
     """
     held = reference.select(F.col("language").alias("__has")).distinct()
     routed = documents.join(F.broadcast(held), F.col("language") == F.col("__has"), "left")
     routed = routed.select(key, F.coalesce("__has", F.lit(default)).alias("route"))
     sizes = vectors.norms(weights, key)
-    dots = weights.join(routed, key).join(reference.select(F.col("language").alias("route"), "term", F.col("w").alias("rw")), ["route", "term"])
-    dots = dots.groupBy(key).agg(F.sum(F.col("w") * F.col("rw")).alias("dot"))
+    own = blocks.beside(weights, routed) if blocks else weights.join(routed, key)
+    dots = own.join(F.broadcast(reference.select(F.col("language").alias("route"), "term", F.col("w").alias("rw"))), ["route", "term"])
+    dots = dots.groupBy(*vectors._own(weights, key)).agg(F.sum(F.col("w") * F.col("rw")).alias("dot")).select(key, "dot")
     norms = vectors.norms(reference, "language").select(F.col("language").alias("route"), F.col("norm").alias("rn"))
     out = routed.join(dots, key, "left").join(sizes, key, "left").join(F.broadcast(norms), "route", "left")
     out = out.join(F.broadcast(factors.select(F.col("language").alias("route"), "factor")), "route", "left")

@@ -405,8 +405,10 @@ FROM g LEFT JOIN n USING (doc_id) LEFT JOIN dot USING (doc_id) LEFT JOIN rn ON r
 @query(f"WITH {_ROUTED}")
 def language_cosine(spark, d):
     """Similarity of every document to the reference of its language, from a stored specification; German stands in for others."""
-    docs, weights = t(spark, d, "documents"), _weights(spark, d)
-    own = weights.join(docs.select("doc_id", "lang").filter("lang in ('de', 'en')"), "doc_id")
+    docs = t(spark, d, "documents")
+    blocks = vectors.blocks(docs, "doc_id")
+    weights = blocks.weights()
+    own = blocks.beside(weights, docs.select("doc_id", "lang").filter("lang in ('de', 'en')"))
     top = vectors.top_terms(vectors.merge(own, "lang", "doc_id"), "lang", 100)
     packed = top.groupBy("lang").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("elements")).alias("v"))
     spec = packed.groupBy(F.lit("s").alias("name")).agg(
@@ -415,7 +417,8 @@ def language_cosine(spark, d):
     )
     spec = written(spec, "spec")
     found = similarity.language_cosine(
-        weights, docs.select("doc_id", F.col("lang").alias("language")), similarity.stored_vectors(spec).drop("name"), similarity.stored_factors(spec).drop("name"), "doc_id"
+        weights, docs.select("doc_id", F.col("lang").alias("language")), similarity.stored_vectors(spec).drop("name"), similarity.stored_factors(spec).drop("name"), "doc_id",
+        blocks=blocks,
     )
     return found.select("doc_id", "route", r6(F.col("sim")).alias("sim"))
 
