@@ -424,8 +424,10 @@ def language_cosine(spark, d):
 
 
 def _similarity(spark, d):
-    weights = _weights(spark, d)
-    lang = weights.join(t(spark, d, "documents").select("doc_id", "lang").filter("lang = 'de'"), "doc_id")
+    docs = t(spark, d, "documents")
+    blocks = vectors.blocks(docs, "doc_id")
+    weights = blocks.weights()
+    lang = blocks.beside(weights, docs.select("doc_id", "lang").filter("lang = 'de'"))
     reference = vectors.top_terms(vectors.merge(lang, "lang", "doc_id"), "lang", 100)
     return vectors.cosine(weights, reference, "doc_id")
 
