@@ -8,7 +8,7 @@ from tidemark.operators import vectors
 from tidemark.plans.queries import ORACLES, QUERIES
 
 IN_PLACE = [
-    "language_cosine", "cosine_topical", "relevance_threshold", "correction_factor",
+    "language_cosine", "cosine_topical", "relevance_threshold", "correction_factor", "build_topic_specs",
 ]
 ODD = [
     (1, "de", "der Haus 7 haus b2 Straße"), (1, "de", "Haus und Hof"), (2, "en", "the house the 2000s x"), (3, "en", ""), (4, "de", None), (5, "fr", "?!  "),

@@ -72,10 +72,9 @@ def analyse(pages: DataFrame, reference: DataFrame, interval: relevance.Interval
 
 def build_topics(docs: DataFrame, topic: str, key: str, max_terms: int = 100) -> DataFrame:
     """(topic, vector map, factor): reference vector and correction factor of every topic's documents."""
-    counts = vectors.term_counts(docs, topic, key)
-    weights = vectors.tfidf(counts.drop(topic), vectors.idf_table(counts.drop(topic), key), key)
-    weights = weights.join(docs.select(key, topic).distinct(), key)
-    reference, factors = vectors.reference_model(weights, topic, key, max_terms)
+    blocks, topics = vectors.blocks(docs, key), docs.select(key, topic).distinct()
+    weights = blocks.beside(blocks.weights(), topics)
+    reference, factors = vectors.reference_model(weights, topic, key, max_terms, spread=lambda ref: blocks.spread(ref, topics, topic))
     packed = reference.groupBy(topic).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "w")))).alias("vector"))
     return packed.join(factors, topic)
 
