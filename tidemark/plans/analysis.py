@@ -57,11 +57,10 @@ def analyse(pages: DataFrame, reference: DataFrame, interval: relevance.Interval
     """(page_id, url, relevance, modified, score, links); pages without text get relevance -1 and no links."""
     # Parsing is the costly part and its result is read several times: it is written once.
     parsed = written(page_dates(parse_pages(pages), as_of).drop("paragraphs", "times", "metas"), "parsed")
-    counts = vectors.term_counts(parsed, "page_id")
-    weights = vectors.tfidf(counts, idf if idf is not None else vectors.idf_table(counts, "page_id"), "page_id")
-    sims = vectors.cosine(weights, reference, "page_id")
-    out = parsed.join(sims, "page_id", "left")
-    blank = F.trim("text") == ""
+    sims = vectors.cosine(vectors.blocks(parsed, "page_id").weights(dictionary=idf), reference, "page_id")
+    # The texts stay where they are.
+    out = parsed.withColumn("blank", F.trim("text") == "").drop("text", "title").join(sims, "page_id", "left")
+    blank = F.col("blank")
     sim, time = F.coalesce("sim", F.lit(0.0)), relevance.time_relevance(method, F.col("date.when"), interval)
     return out.select(
         "page_id", "url", F.when(blank, -1.0).otherwise(sim).alias("relevance"), F.col("date.when").alias("modified"),

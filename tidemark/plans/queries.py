@@ -367,7 +367,9 @@ _LANG = f"{_TFIDF.replace('@K', '1.0')}, v AS (SELECT w.*, lang FROM w JOIN docu
 
 
 def _lang_weights(spark, d):
-    return _weights(spark, d).join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    docs = t(spark, d, "documents")
+    blocks = vectors.blocks(docs, "doc_id")
+    return blocks.beside(blocks.weights(), docs.select("doc_id", "lang"))
 
 
 @query(f"WITH {_LANG} SELECT lang, term, round(sum(w), 4) AS w FROM v GROUP BY 1, 2")
