@@ -289,8 +289,7 @@ _TFIDF = f"""{_IDF}, w AS (SELECT doc_id, term, @K * (1 + ln(n)) * idf AS w FROM
 
 
 def _weights(spark, d, keywords=None):
-    c = vectors.term_counts(t(spark, d, "documents"), "doc_id")
-    return vectors.tfidf(c, vectors.idf_table(c, "doc_id"), "doc_id", keywords)
+    return vectors.blocks(t(spark, d, "documents"), "doc_id").weights(keywords)
 
 
 @query(f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM i")
