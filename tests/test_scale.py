@@ -9,7 +9,7 @@ from tidemark.plans.queries import ORACLES, QUERIES
 
 IN_PLACE = [
     "language_cosine", "cosine_topical", "relevance_threshold", "correction_factor", "build_topic_specs", "merge_vectors_df", "reference_top100",
-    "merge_vectors", "page_analysis", "vector_norms", "keyword_weighted_vector", "tfidf_vector",
+    "merge_vectors", "page_analysis", "vector_norms", "keyword_weighted_vector", "tfidf_vector", "relative_tf", "top_k_terms",
 ]
 ODD = [
     (1, "de", "der Haus 7 haus b2 Straße"), (1, "de", "Haus und Hof"), (2, "en", "the house the 2000s x"), (3, "en", ""), (4, "de", None), (5, "fr", "?!  "),
