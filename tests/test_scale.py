@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import vectors
+from tidemark.plans import crawl as crawling
 from tidemark.plans.queries import ORACLES, QUERIES
 
 IN_PLACE = [
@@ -54,3 +57,23 @@ def test_blocks_keep_their_size(spark, tmp_path):
         spark.range(n).selectExpr("id AS doc_id", "sha2(cast(id as string), 512) || sha2(cast(-id as string), 512) AS text").write.parquet(f"{tmp_path}/{name}")
     one, four = (vectors.parts(spark.read.parquet(f"{tmp_path}/{n}")) for n in ("one", "four"))
     assert four <= 4 * one and vectors.parts(spark.createDataFrame([(1, "a")], "doc_id long, text string")) == 4
+
+
+def test_crawl_writes_each_row_once(spark):
+    """A chain of pages: what a round writes does not grow with the rounds before it, and pages are not shuffled again."""
+    n = 12
+    ids = spark.range(n).select(F.concat(F.lit("p"), "id").alias("url"), F.lit(0.5).alias("relevance"), F.lit(0.5).alias("score"), F.array(F.concat(F.lit("p"), F.col("id") + 1)).alias("links"), F.lit(None).cast("timestamp").alias("crawl_ts"))
+    wrote = []
+    spy = crawling.written
+    crawling.written = lambda df, label: wrote.append((label, (out := spy(df, label)).count())) or out
+    tables = len(spark.catalog.listTables())
+    try:
+        out = crawling.crawl(ids.filter("url = 'p0'").select("url"), ids, 5, crawling.queue_empty())
+    finally:
+        crawling.written = spy
+    assert out.results.count() == n and [r.url for r in out.missing.collect()] == [f"p{n}"]
+    assert {len(r.path) - 1 for r in out.results.collect()} == set(range(n))
+    assert sum(c for _, c in wrote) <= 2 * (n + 1) + 1 and len(spark.catalog.listTables()) == tables
+    with crawling.in_buckets(ids, "url", "pages") as (pages, parts):
+        asked = ids.select("url").repartition(parts, "url").hint("merge").join(pages.hint("merge"), "url", "left")
+        assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import analyzers, dates, html, relevance, text, urls
@@ -629,10 +629,10 @@ def _graph(spark, d):
     """A link graph over the orders: order k links to the next orders of its customer."""
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("crawl_ts"), "o_totalprice")
     name = lambda c: F.concat(F.lit("http://o"), c, F.lit(".org/"))
-    links = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("all"))
-    o = o.join(links, "o_custkey")
-    after = F.slice(F.filter("all", lambda x: x > F.col("o_orderkey")), 1, 2)
-    return o.select(name(F.col("o_orderkey")).alias("url"), (F.col("o_totalprice") / 600000).alias("relevance"), F.lit(0.5).alias("score"), F.transform(after, lambda x: name(x)).alias("links"), "crawl_ts", "o_orderkey", "o_custkey")
+    line = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    after = F.array_compact(F.array(F.lead("o_orderkey", 1).over(line), F.lead("o_orderkey", 2).over(line)))
+    o = o.withColumn("after", after)
+    return o.select(name(F.col("o_orderkey")).alias("url"), (F.col("o_totalprice") / 600000).alias("relevance"), F.lit(0.5).alias("score"), F.transform("after", name).alias("links"), "crawl_ts", "o_orderkey", "o_custkey")
 
 
 @query("""SELECT 'http://o' || o_orderkey || '.org/' AS url, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) // 2 + 1)::INTEGER AS depth FROM orders""")
