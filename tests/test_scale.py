@@ -34,7 +34,7 @@ def rows(frame):
     return sorted(repr(tuple(map(str, r))) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", [n for n in IN_PLACE if n in ORACLES])
+@pytest.mark.parametrize("name", [n for n in IN_PLACE if n in ORACLES] + ["fallback_terms"])
 def test_odd_documents_match_sql(spark, odd, name):
     import duckdb
 
@@ -77,3 +77,8 @@ def test_crawl_writes_each_row_once(spark):
     with crawling.in_buckets(ids, "url", "pages") as (pages, parts):
         asked = ids.select("url").repartition(parts, "url").hint("merge").join(pages.hint("merge"), "url", "left")
         assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_edges_stay_where_their_text_is(spark, odd):
+    plan = QUERIES["textrank_graph_edges"](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Union" not in plan
