@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import html, urls
 from tidemark.operators import vectors
 from tidemark.plans import crawl as crawling
 from tidemark.plans.queries import ORACLES, QUERIES
@@ -82,3 +83,29 @@ def test_crawl_writes_each_row_once(spark):
 def test_edges_stay_where_their_text_is(spark, odd):
     plan = QUERIES["textrank_graph_edges"](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Union" not in plan
+
+
+@pytest.mark.parametrize("name", ["page_outlinks", "html_text_stats"])
+def test_a_page_is_parsed_once_by_one_function(spark, odd, name):
+    plan = QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_few_pages_are_objects_at_one_time(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    class Page(dict):
+        pass
+
+    most, real = [0], html.parse
+
+    def parse(page):
+        most[0] = max(most[0], sum(isinstance(x, Page) for x in gc.get_objects()))
+        return Page(real(page))
+
+    pages = pa.array(["<html><p>a</p><a href='/x'>b</a></html>", None] * (2 * html.SLICE))
+    monkeypatch.setattr(html, "parse", lambda p: None if p is None else parse(p))
+    out = html.parser(("links",), urls.resolved).func(pages, pa.array(["http://e.org/"] * len(pages)))
+    assert out.to_pylist()[:2] == [{"links": ["http://e.org/x"]}, {"links": None}] and len(out) == len(pages) and most[0] <= 2 * html.SLICE

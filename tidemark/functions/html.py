@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,11 +111,36 @@ def parse(html: str | None, only: frozenset[str] | None = None) -> dict | None:
     }
 
 
-@F.pandas_udf(PARSED)
-def html_parse(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    empty = dict.fromkeys(FIELDS)
-    for batch in html:
-        yield pd.DataFrame([parse(h) or empty for h in batch], columns=list(FIELDS))
+# Pages that are Python objects at one time; what is parsed goes to Arrow arrays.
+SLICE = 64
+
+
+def parser(fields: tuple[str, ...] = FIELDS, resolve: Callable[[str | None, list[str]], list[str]] | None = None):
+    """An Arrow function of (html, address) that gives the named parts of a page, its links as ``resolve`` (address, links) has them.
+
+    Leave out fields that are not used: Python holds and sends what is named here.
+    """
+    kind = T.StructType([f for f in PARSED if f.name in fields])
+    arrow = pa.struct([(f.name, pa.string() if f.dataType == T.StringType() else pa.list_(pa.string())) for f in kind])
+
+    def one(page: str | None, address: str | None) -> dict:
+        found = parse(page) or {}
+        if resolve and found and "links" in fields:
+            found["links"] = resolve(address, found["links"])
+        return {f: found.get(f) for f in kind.names}
+
+    @F.arrow_udf(kind)
+    def run(html: pa.Array, address: pa.Array) -> pa.Array:
+        cuts = range(0, len(html), SLICE)
+        parts = [pa.array(list(map(one, html.slice(i, SLICE).to_pylist(), address.slice(i, SLICE).to_pylist())), type=arrow) for i in cuts]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
+
+    return run
+
+
+def html_parse(html: Column) -> Column:
+    """All parts of a page, links as they stand in it."""
+    return parser()(html, F.lit(None).cast("string"))
 
 
 def walk(html: str, skip: frozenset[str] = frozenset()) -> list[str]:
@@ -187,4 +212,4 @@ def register(spark) -> None:
     """SQL names for the table functions and the parser."""
     spark.udtf.register("html_nodes", HtmlNodes)
     spark.udtf.register("html_links", HtmlLinks)
-    spark.udf.register("html_parse", html_parse)
+    spark.udf.register("html_parse", F.udf(lambda page: parse(page), PARSED))

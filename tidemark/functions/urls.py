@@ -201,25 +201,32 @@ def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or x is None else one(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
 
 
+def resolved(base: str | None, links: list[str]) -> list[str]:
+    """Web links against the page's address, in normal form; those that can't be resolved are left out."""
+    out = []
+    for x in links:
+        try:
+            full = urljoin(base or "", x) if x else ""
+        except ValueError:
+            continue
+        if full.startswith("http") and (found := canonical(full)):
+            out.append(found)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _absolute(base: pd.Series, links: pd.Series) -> pd.Series:
-    seen: dict[str, str | None] = {}
+    return pd.Series([None if xs is None else resolved(b, xs) for b, xs in zip(base, links, strict=True)], dtype=object)
 
-    def one(b, x):
-        try:
-            full = urljoin(b or "", x)
-        except ValueError:
-            return None
-        if full not in seen:
-            seen[full] = canonical(full) if full.startswith("http") else None
-        return seen[full]
 
-    return pd.Series([None if xs is None else [y for x in xs if x and (y := one(b, x))] for b, xs in zip(base, links, strict=True)], dtype=object)
+def cleaned(links: Column) -> Column:
+    """Links in normal form without tracking parameters."""
+    return F.transform(links, lambda x: rewrite(strip_tracking(x)))
 
 
 def absolute_links(base: Column, links: Column) -> Column:
     """A page's links resolved against its address, web links alone, in normal form, without tracking parameters."""
-    return F.transform(_absolute(base, links), lambda x: rewrite(strip_tracking(x)))
+    return cleaned(_absolute(base, links))
 
 
 def compose(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:

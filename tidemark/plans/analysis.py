@@ -12,23 +12,26 @@ from tidemark.operators import vectors
 from tidemark.plans.crawl import written
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, links, title, ...): text, normalised distinct links, and the page's date candidates.
+def parse_pages(pages: DataFrame, fields: tuple[str, ...] = html.FIELDS) -> DataFrame:
+    """(page_id, url, text, links, title, ...): text, normalised distinct links, and the page's date candidates, as far as ``fields`` names them.
 
     Only textual content is parsed: where there is a column ``mime``, other pages have an empty text and no links.
     """
     body = F.col("html")
     if "mime" in pages.columns:
         body = F.when(F.coalesce(F.col("mime"), F.lit("")).startswith("text"), body).otherwise(F.lit(""))
-    parsed = pages.select("page_id", "url", html.html_parse(body).alias("p"))
-    parsed = parsed.withColumn("__links", urls.absolute_links(F.col("url"), F.col("p.links")))
-    links = F.array_distinct(F.filter("__links", urls.usable_link))
-    return parsed.select("page_id", "url", F.col("p.text").alias("text"), F.col("p.paragraphs").alias("paragraphs"), "p.title", links.alias("links"), F.col("p.times").alias("times"), F.col("p.metas").alias("metas"))
+    # One call parses a page and resolves its links.
+    parsed = pages.select("page_id", "url", html.parser(fields, urls.resolved)(body, F.col("url")).alias("p"))
+    parsed = parsed.select("page_id", "url", *[F.col(f"p.{f}").alias(f) for f in html.FIELDS if f in fields])
+    if "links" in fields:
+        parsed = parsed.withColumn("links", F.array_distinct(F.filter(urls.cleaned(F.col("links")), urls.usable_link)))
+    return parsed
 
 
 def outlinks(pages: DataFrame) -> DataFrame:
     """(page_id, link): the distinct links of each page, absolute and normalised."""
-    return parse_pages(pages).select("page_id", F.explode("links").alias("link"))
+    # An inner explode would make the planner parse every page once more, to see whether it has links.
+    return parse_pages(pages, ("links",)).select("page_id", F.explode_outer("links").alias("link")).filter("link is not null")
 
 
 def page_dates(parsed: DataFrame, as_of: str) -> DataFrame:

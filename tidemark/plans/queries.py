@@ -220,7 +220,7 @@ def date_liberal(spark, d):
 # -- HTML and text ------------------------------------------------------------------------
 @query()
 def html_text_stats(spark, d):
-    p = analysis.parse_pages(t(spark, d, "pages"))
+    p = analysis.parse_pages(t(spark, d, "pages"), ("text", "links", "title"))
     return p.select("page_id", F.length("text").alias("chars"), F.size("links").alias("links"), "title")
 
 
