@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import html, urls
+from tidemark.functions import analyzers, html, urls
 from tidemark.operators import vectors
 from tidemark.plans import crawl as crawling
 from tidemark.plans.queries import ORACLES, QUERIES
@@ -109,3 +109,13 @@ def test_few_pages_are_objects_at_one_time(monkeypatch):
     monkeypatch.setattr(html, "parse", lambda p: None if p is None else parse(p))
     out = html.parser(("links",), urls.resolved).func(pages, pa.array(["http://e.org/"] * len(pages)))
     assert out.to_pylist()[:2] == [{"links": ["http://e.org/x"]}, {"links": None}] and len(out) == len(pages) and most[0] <= 2 * html.SLICE
+
+
+def test_stems_of_slices(spark):
+    import pyarrow as pa
+
+    words = [["Häuser", "häuser", "running"], None, [], ["running"]] * analyzers.SLICE
+    langs = ["de", "en", "fr", "en"] * analyzers.SLICE
+    want = [None if w is None else [analyzers.STEMMERS[lang](x) for x in w] for w, lang in zip(words, langs, strict=True)]
+    assert analyzers._stemmed.func(pa.array(words, type=pa.list_(pa.string())), pa.array(langs)).to_pylist() == want
+    assert analyzers._stemmed.func(pa.array([["a"], ["running"]]).slice(1), pa.array(["de", "en"]).slice(1)).to_pylist() == [["run"]]

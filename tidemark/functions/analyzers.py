@@ -3,7 +3,7 @@
 German keeps all its words (no stop words); English, French and Italian leave theirs out.
 A language without an analyzer of its own is treated as the default one.
 Tokens and stop words are Column expressions; stems come from an Arrow function that
-works out every distinct word of a batch once.
+makes Python objects of a slice's distinct words only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,17 +164,34 @@ def italian_stem(word: str) -> str:
 STEMMERS = {"de": light_stem, "en": english_stem, "fr": french_stem, "it": italian_stem}
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(words: pd.Series, language: pd.Series) -> pd.Series:
+# Documents whose words are numbered at one time, and words whose stems are kept.
+SLICE, KEPT = 256, 50_000
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(words: pa.Array, language: pa.Array) -> pa.Array:
     seen: dict[tuple[str, str], str] = {}
 
     def one(w: str, lang: str) -> str:
         found = seen.get((w, lang))
         if found is None:
+            if len(seen) >= KEPT:
+                seen.clear()
             found = seen[w, lang] = STEMMERS[lang](w)
         return found
 
-    return pd.Series([None if ws is None else [one(w, lang) for w in ws] for ws, lang in zip(words, language, strict=True)], dtype=object)
+    def part(words: pa.Array, language: pa.Array) -> pa.Array:
+        # Only distinct words become Python objects.
+        flat, own = words.flatten().dictionary_encode(), language.take(pc.list_parent_indices(words)).dictionary_encode()
+        size = max(1, len(flat.dictionary))
+        pairs, place = np.unique(own.indices.to_numpy(zero_copy_only=False) * np.int64(size) + flat.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        texts, langs = flat.dictionary.to_pylist(), own.dictionary.to_pylist()
+        stems = pa.array([one(texts[p % size], langs[p // size]) for p in pairs.tolist()], type=pa.string()).take(pa.array(place))
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), stems, mask=words.is_null())
+
+    parts = [part(words.slice(i, SLICE), language.slice(i, SLICE)) for i in range(0, len(words), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.string()))
 
 
 def terms(text: Column, language: Column, known: tuple[str, ...] = LANGUAGES, default: str = DEFAULT) -> Column:
