@@ -1,13 +1,15 @@
 """What moves and what is held at once in queries over large tables; odd documents against SQL."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import analyzers, html, urls
-from tidemark.operators import vectors
+from tidemark.operators import keyphrase, vectors
 from tidemark.plans import crawl as crawling
 from tidemark.plans.queries import ORACLES, QUERIES
 
@@ -119,3 +121,41 @@ def test_stems_of_slices(spark):
     want = [None if w is None else [analyzers.STEMMERS[lang](x) for x in w] for w, lang in zip(words, langs, strict=True)]
     assert analyzers._stemmed.func(pa.array(words, type=pa.list_(pa.string())), pa.array(langs)).to_pylist() == want
     assert analyzers._stemmed.func(pa.array([["a"], ["running"]]).slice(1), pa.array(["de", "en"]).slice(1)).to_pylist() == [["run"]]
+
+
+def _plain_rank(neighbours, rank):
+    """Rounds over sets of neighbours, as ``settle`` does over arrays."""
+    for _ in range(len(neighbours)):
+        new = {v: 0.15 + 0.85 * sum(rank[u] / len(neighbours[u]) for u in around) for v, around in neighbours.items()}
+        change = [abs(new[v] - rank[v]) for v in neighbours]
+        rank, mean = new, sum(change) / len(change)
+        if (sum((c - mean) ** 2 for c in change) / max(1, len(change) - 1)) ** 0.5 / len(change) ** 0.5 < 0.005:
+            break
+    return rank
+
+
+def test_ranks_do_not_depend_on_the_order_of_neighbours():
+    draw = random.Random(3)
+    near = {v: set() for v in range(60)}
+    for _ in range(150):
+        a, b = draw.sample(range(59), 2)
+        near[a].add(b)
+        near[b].add(a)
+    got, want = keyphrase.iterate(near), _plain_rank(near, dict.fromkeys(near, 1.0))
+    assert got == pytest.approx(want, abs=1e-8) and got[59] == pytest.approx(0.15)
+    src, dst = np.array([(u, v) for v in near for u in near[v]]).T
+    back = keyphrase.settle(src[::-1], dst[::-1], np.ones(60))
+    assert (back == keyphrase.settle(src, dst, np.ones(60))).all()
+
+
+def test_phrases_with_a_tagger_of_ones_own():
+    body = "Solar power plants grow; solar power plants feed the grid! The grid needs solar power plants, rain fell?\nRain"
+    own = keyphrase.keyphrases(body, 9, lambda words: keyphrase.stop_word_tagger(words))
+    assert own == keyphrase.keyphrases(body, 9)
+
+
+@pytest.mark.parametrize("name", ["keyphrases"])
+def test_texts_are_dealt_evenly(spark, odd, name):
+    """A single file of a single part does not leave the work to one task."""
+    plan = QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -80,7 +80,9 @@ def is_noise(term: Column, n: Column, total: Column) -> Column:
 
 def light_stem(word: str) -> str:
     """Light German stemming: accents folded, then at most one ending of each of two kinds removed."""
-    word = "".join(c for c in unicodedata.normalize("NFD", word.lower().replace("ß", "ss")) if not unicodedata.combining(c))
+    word = word.lower()
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFD", word.replace("ß", "ss")) if not unicodedata.combining(c))
     if len(word) > 5 and word.endswith("ern"):
         word = word[:-3]
     elif len(word) > 4 and word.endswith(("em", "en", "er", "es")):

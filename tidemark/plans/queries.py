@@ -735,7 +735,10 @@ def markov_bigrams(spark, d):
 
 @query()
 def keyphrases(spark, d):
-    found = t(spark, d, "documents").select("doc_id", F.explode(keyphrase.keyphrases_udf(5)("text")).alias("p"))
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    # Texts are dealt evenly: ranking them takes far longer than moving them, and files may have fewer parts than there are cores.
+    docs = docs.repartition(vectors.parts(docs), "doc_id")
+    found = docs.select("doc_id", F.explode_outer(keyphrase.keyphrases_udf(5)("text")).alias("p")).filter("p is not null")
     return found.select("doc_id", "p.phrase", r6(F.col("p.metric")).alias("metric"))
 
 
