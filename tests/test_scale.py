@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import analyzers, html, urls
-from tidemark.operators import keyphrase, vectors
+from tidemark.operators import keyphrase, langid, vectors
 from tidemark.plans import crawl as crawling
 from tidemark.plans.queries import ORACLES, QUERIES
 
@@ -154,7 +155,15 @@ def test_phrases_with_a_tagger_of_ones_own():
     assert own == keyphrase.keyphrases(body, 9)
 
 
-@pytest.mark.parametrize("name", ["keyphrases"])
+def test_ngrams_of_joined_texts_stay_apart():
+    texts = ["", "a", "ab", "äbc", "", "abcab"]
+    data = [x.encode() for x in texts]
+    for n in langid.SIZES:
+        got = {int(c).to_bytes(n, "big"): int(k) for c, k in zip(*langid.count_codes(data, n), strict=True)}
+        assert got == Counter(x[i : i + n] for x in data for i in range(len(x) - n + 1))
+
+
+@pytest.mark.parametrize("name", ["keyphrases", "lang_confusion"])
 def test_texts_are_dealt_evenly(spark, odd, name):
     """A single file of a single part does not leave the work to one task."""
     plan = QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()

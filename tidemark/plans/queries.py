@@ -722,7 +722,7 @@ def date_accuracy(spark, d):
 def lang_confusion(spark, d):
     docs = t(spark, d, "documents")
     guess = langid.classifier(langid.train(docs))
-    found = docs.select("lang", guess("text").alias("g")).select("lang", F.col("g.lang").alias("guess"))
+    found = langid.dealt(docs.select("lang", "text")).select("lang", guess("text").alias("g")).select("lang", F.col("g.lang").alias("guess"))
     return found.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
