@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import analyzers
@@ -58,12 +58,15 @@ def language_cosine(weights: DataFrame, documents: DataFrame, reference: DataFra
     held = reference.select(F.col("language").alias("__has")).distinct()
     routed = documents.join(F.broadcast(held), F.col("language") == F.col("__has"), "left")
     routed = routed.select(key, F.coalesce("__has", F.lit(default)).alias("route"))
-    sizes = vectors.norms(weights, key)
-    own = blocks.beside(weights, routed) if blocks else weights.join(routed, key)
-    dots = own.join(F.broadcast(reference.select(F.col("language").alias("route"), "term", F.col("w").alias("rw"))), ["route", "term"])
-    dots = dots.groupBy(*vectors._own(weights, key)).agg(F.sum(F.col("w") * F.col("rw")).alias("dot")).select(key, "dot")
+    # A document's norm is summed beside its dot product; ``times`` undoes what a key that stands in several rows adds to it.
+    once = routed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    own = blocks.beside(weights, once) if blocks else weights.join(once, key)
+    own = own.join(F.broadcast(reference.select(F.col("language").alias("route"), "term", F.col("w").alias("rw"))), ["route", "term"], "left")
+    sums = own.groupBy(*vectors._own(weights, key)).agg(
+        F.sum(F.col("w") * F.col("rw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w") / F.col("times"))).alias("norm")
+    ).select(key, "dot", "norm")
     norms = vectors.norms(reference, "language").select(F.col("language").alias("route"), F.col("norm").alias("rn"))
-    out = routed.join(dots, key, "left").join(sizes, key, "left").join(F.broadcast(norms), "route", "left")
+    out = routed.join(sums, key, "left").join(F.broadcast(norms), "route", "left")
     out = out.join(F.broadcast(factors.select(F.col("language").alias("route"), "factor")), "route", "left")
     sim = vectors.guarded(F.coalesce("dot", F.lit(0.0)), F.col("norm") * F.col("rn"))
     return out.select(key, "route", vectors.guarded(sim, F.coalesce("factor", F.lit(1.0))).alias("sim"))
